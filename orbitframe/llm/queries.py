@@ -27,6 +27,12 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -46,6 +52,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -68,8 +80,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_ids, op2_lpt_shards, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op8_language_fusion, op9_order_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_ids, op2_lpt_shards, op3_vector_graph, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_shingle_join, op8_language_fusion, op9_order_packing, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
