@@ -196,5 +196,6 @@ def keep_known(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     model = fit(docs, s)
     rows = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
     found, _ = scratch.written(likelihoods(rows, model), "likelihoods")
-    gone = fuse(found, model.languages, s).filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct()
+    decided, _ = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
+    gone = decided.filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

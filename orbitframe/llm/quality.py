@@ -69,6 +69,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").alias("n_lines"),
         F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop"),
         without(F.col("_body"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
+        # Keeps the optimizer from copying the measures' expressions into a filter on the verdict.
+        F.monotonically_increasing_id().alias("_barrier"),
     )
     ratio = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y))
     a = a.withColumns({
@@ -90,5 +92,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     Measures get names of their own here, so that columns of the input may share them.
     """
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)))
-    kept = with_measures(renamed, f"in_{docs.columns.index(text)}").filter("kept")
+    kept = with_measures(renamed, f"in_{docs.columns.index(text)}").filter("kept and _barrier >= 0")
     return kept.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))
