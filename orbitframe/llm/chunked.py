@@ -25,7 +25,7 @@ RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x85", "\xa0")
 RARE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MARKS = ".,;:!?%*&$#|)]}\"-"
 #: Text worked on at a time, in characters; bounds the memory of split words.
-SLICE = 1_500_000
+SLICE = 300_000
 
 Encode = Callable[[list[str]], list[bytes]]
 

@@ -28,6 +28,8 @@ from .chunked import worker_words
 RUN = 1 << 20
 #: Penalties in ids: a cut at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 2, 12
+#: Of sentences that end within a stretch of so many ids, the first is a cut.
+APART = 16
 #: Gaps between cuts longer than LONG get cuts each GRID ids.
 LONG, GRID = 48, 24
 
@@ -35,6 +37,7 @@ LONG, GRID = 48, 24
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, ascending, and their penalties. The last is the end."""
     stops = np.flatnonzero(sentence_end[ids]) + 1
+    stops = stops[np.diff(stops // APART, prepend=-1) > 0]
     known = np.unique(np.concatenate([[0], stops, doc_ends]))
     gaps = np.diff(known)
     wide = np.flatnonzero(gaps > LONG)
@@ -43,7 +46,7 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray)
     penalty = np.full(len(every), IN_SENTENCE, np.int64)
     penalty[: len(known)] = AT_SENTENCE
     penalty[: len(known)][np.isin(known, doc_ends)] = 0
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every, kind="stable")  # two ascending runs: a merge
     every, penalty = every[order], penalty[order]
     return every[1:], penalty[1:]
 
