@@ -29,9 +29,9 @@ RUN = 1 << 20
 #: Penalties in ids: a cut at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 2, 12
 #: Of sentences that end within a stretch of so many ids, the first is a cut.
-APART = 16
+APART = 32
 #: Gaps between cuts longer than LONG get cuts each GRID ids.
-LONG, GRID = 48, 24
+LONG, GRID = 96, 48
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
