@@ -13,8 +13,9 @@ How often a shingle occurs is counted exactly: each task packs its shingles by r
 meet by range, and what occurs in one set only is dropped there: it can be in no overlap. What is
 left of a set is all that verifying needs. Equal sets are one class from the start (copies within a
 task before any shuffle). Pairs of a list are not enumerated: each set is first checked against its
-list's leader, and only sets that stay apart after that are paired, so a group of m near copies
-costs about m checks and still no link between components is lost.
+list's leader. Sets that stay apart after that meet by pairs, which places in the order rule out
+before any set is fetched, and in long lists block by block within a task. So a group of m copies
+that link costs about m checks, and no link between components is lost.
 
 A shingle is a 64-bit hash; lists and overlaps use its upper 32 + log2(ranges) bits. A range keeps
 its lists packed, about three bytes for each set that holds a shingle.
@@ -27,6 +28,7 @@ rows; other columns are ignored by ``classes`` and kept by ``keep_one``.
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,10 @@ PERCENT = 75
 CHUNK, CHUNK_DOCS, RANGE = 2_000_000, 60_000, 500_000
 #: Largest set size tried as boundary.
 MOST_LIGHT = 48
-#: Members that are checked against a leader in one task.
-SALT = 512
+#: Lists up to this length are joined by pairs, longer ones in blocks of this many members.
+BLOCK = 512
+#: Lists that stand apart are broadcast up to this number (16 bytes each), and joined by shuffle beyond.
+BROADCAST = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -181,15 +185,16 @@ def _pack_lists(bits: int):
     return work
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a sorted partition, by the value of one column."""
+def _groups(batches: Iterator[pa.RecordBatch], key: int | tuple[int, ...]) -> Iterator[tuple]:
+    """Rows of a sorted partition, by the value of one column or some."""
     now, held = None, []
+    of = operator.itemgetter(*key) if isinstance(key, tuple) else operator.itemgetter(key)
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[key] != now:
+            if held and of(row) != now:
                 yield now, held
                 held = []
-            now = row[key]
+            now = of(row)
             held.append(row)
     if held:
         yield now, held
@@ -286,27 +291,35 @@ def boundary(by_size: dict[int, tuple[int, int]], rest: int) -> int:
 
 
 def _keys(x: int):
-    """Sets -> a row for each key: subsets of two of a light set, single elements of a heavy one."""
+    """Sets -> a row for each key: subsets of two of a light set, single elements of a heavy one.
+
+    at: the key's number; pos: its last element's place in the set's order, less k - 1. Two sets
+    whose overlap must be o share a key with pos <= n - o on both sides.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, at = [], [], [], []
-            for node, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            nodes, sizes, keys, at, pos = [], [], [], [], []
+            for node, n, m, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 token = np.frombuffer(raw, "<u8")
-                found = []
+                place = np.arange(len(token)) + n - m  # elements of no other set come first
+                found, where = [], []
                 with np.errstate(over="ignore"):
                     if 3 * n <= 4 * x:
                         i, j = np.triu_indices(len(token), 1)
                         found.append(_mix(np.minimum(token[i], token[j]) * _FIVE[0] + np.maximum(token[i], token[j]) * _FIVE[1]))
+                        where.append(place[j] - 1)
                     if n > x:
                         found.append(_mix(token[:-1] + np.uint64(1)))  # the prefix for k = 2 has one more
+                        where.append(place[:-1])
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 keys.append(flat.view(np.int64))
+                pos += where
                 at.append(np.arange(len(flat)))
                 nodes.append(np.full(len(flat), node))
                 sizes.append(np.full(len(flat), n, np.int32))
             join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(nodes, np.int64)), pa.array(join(sizes, np.int32)), pa.array(join(at, np.int32))], ["key", "node", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(nodes, np.int64)), pa.array(join(sizes, np.int32)), pa.array(join(at, np.int32)), pa.array(join(pos, np.int32))], ["key", "node", "n", "at", "pos"])
 
     return work
 
@@ -343,6 +356,43 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "a long, b long")
 
 
+def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, i, j, block, node, comp, n, n_shared, shared): all pairs of two blocks of a list.
+
+    Gives a spanning set of the links between different components.
+    """
+
+    def tell(rows: list[tuple]) -> tuple[list, list]:
+        rows = list({r[4]: r for r in rows}.values())
+        sets = [np.cumsum(_unpacked(r[8], r[7], "<u8")[0], dtype=np.uint64) for r in rows]
+        size = np.array([r[6] for r in rows], np.int64)
+        block = np.array([r[3] for r in rows])
+        comp = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in rows))}
+        group = np.array([comp[r[5]] for r in rows])
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        flag = np.zeros(len(names), np.int32)
+        a, b = [], []
+        for i in range(len(rows) - 1):
+            later = np.arange(i + 1, len(rows))
+            if rows[i][1] != rows[i][2] and not (block[later] != block[i]).any():
+                continue
+            own = flat[starts[i] : starts[i + 1]]
+            flag[own] = 1
+            both = np.add.reduceat(flag[flat[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1])
+            flag[own] = 0
+            for j in (later[(group[later] != group[i]) & (100 * both >= PERCENT * (size[later] + size[i] - both))]).tolist():
+                if group[j] != group[i]:
+                    a.append(rows[i][4])
+                    b.append(rows[j][4])
+                    group[group == group[j]] = group[i]
+        return a, b
+
+    for _, rows in _groups(batches, (0, 1, 2)):
+        a, b = tell(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
     found = comps.select(F.col("node").alias(node), F.col("comp").alias(f"_{name}"))
     return rows.join(found, node, "left").withColumn(name, F.coalesce(f"_{name}", node)).drop(f"_{name}")
@@ -365,30 +415,45 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     costs = sets.groupBy(F.least("n", F.lit(4 * MOST_LIGHT)).alias("n")).agg(F.sum("cost_light").alias("a"), F.sum("cost_heavy").alias("b")).collect()  # a row for each size up to the last
     by_size = {r.n: (r.a, r.b) for r in costs if r.n < 4 * MOST_LIGHT}
     x = boundary(by_size, sum(r.b for r in costs if r.n >= 4 * MOST_LIGHT))
-    keyed = sets.select("node", "n", "prefix").mapInArrow(_keys(x), "key long, node long, n int, at int")
-    # Sizes that can link differ by one band at most.
-    keys, keys_at = scratch.written(keyed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")), "keys")
-    leaders = keys.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("to"), F.col("n").alias("to_n"))).alias("s")).select("key", "band", "s.to", "s.to_n")
-    fits = (F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * PERCENT) & (F.col("to") != F.col("node"))
-    early = keys.filter("at < 2")
-    first = early.join(leaders, ["key", "band"]).filter(fits).select("to", "node").distinct()
+    keyed = sets.select("node", "n", "n_shared", "prefix").mapInArrow(_keys(x), "key long, node long, n int, at int, pos int")
+    keys, keys_at = scratch.written(keyed, "keys")
+    leaders = keys.select("key", "node").groupBy("key").agg(F.min("node").alias("to"), F.max("node").alias("other")).filter("to <> other").select("key", "to")
+    first = keys.filter("at < 2").select("key", "node").join(leaders, "key").filter("node <> to").select("to", "node").distinct()
     first, first_at = scratch.written(first, "pairs")
-    links, _ = scratch.written(_checked(first, sets), "links")
+    links = _checked(first, sets)
     comps = graph.components(links)
-    # Sets that still stand apart in one of their lists: all their pairs, each once.
-    placed = _with_comp(keys, comps, "node", "comp")
-    lower = placed.withColumn("of", F.explode(F.array("band", F.col("band") + 1)))
-    mixed = lower.groupBy("key", "of").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("band").alias("top")).filter("c1 <> c2 and top = of").select("key", "of")
-    apart, apart_at = scratch.written(lower.join(mixed, ["key", "of"]), "apart")
-    one = apart.select("key", "of", "node", "n", "band", "comp")
-    two = apart.filter("band = of").select("key", "of", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("comp").alias("to_comp"), F.col("band").alias("to_band"))
-    rest = one.join(two, ["key", "of"]).filter(fits & (F.col("comp") != F.col("to_comp")) & ((F.col("band") != F.col("to_band")) | (F.col("node") > F.col("to"))))
-    rest = rest.select("to", "node").distinct().join(first, ["to", "node"], "left_anti").join(first.select(F.col("to").alias("node"), F.col("node").alias("to")), ["to", "node"], "left_anti")
+    # Lists whose sets still stand apart; places beyond what the list's smallest set needs are left out.
+    placed = _with_comp(keys.select("key", "node", "n", "pos"), comps, "node", "comp")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.count("*").alias("m")).filter("c1 <> c2").select("key", "low", "m")
+    mixed, mixed_at = scratch.written(mixed, "mixed")
+    if mixed.count() <= BROADCAST:
+        mixed = F.broadcast(mixed)
+    overlap = lambda p, q: F.ceil(PERCENT * (p + q) / F.lit(100.0 + PERCENT) - 1e-9)
+    smallest = F.greatest("low", F.ceil(F.col("n") * (PERCENT / 100) - 1e-9))
+    apart = placed.join(mixed, "key").filter(F.col("pos") <= F.col("n") - overlap(F.col("n"), smallest))
+    apart, apart_at = scratch.written(apart.select("key", "node", "n", "pos", "comp", "m"), "apart")
+    one = apart.filter(F.col("m") <= BLOCK)
+    two = one.select("key", *(F.col(c).alias(f"to_{c}") for c in ("n", "pos", "comp")), F.col("node").alias("to"))
+    o = overlap(F.col("n"), F.col("to_n"))
+    fits = (F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * PERCENT) & (F.col("pos") <= F.col("n") - o) & (F.col("to_pos") <= F.col("to_n") - o)
+    rest = one.join(two, (one["key"] == two["key"]) & (F.col("to") < F.col("node")) & (F.col("comp") != F.col("to_comp")) & fits)
+    rest = rest.select("to", "node").distinct().join(first, ["to", "node"], "left_anti")
     rest, rest_at = scratch.written(rest, "pairs")
-    more, more_at = scratch.written(_checked(rest, sets), "links")
+    # Long lists: blocks against blocks, so that a member is sent once for each block and not for each partner.
+    blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
+    long = apart.filter(F.col("m") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    long = long.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp")
+    dealt = long.join(sets.select("node", "n", "n_shared", "shared"), "node").select("key", "i", "j", "block", "node", "comp", "n", "n_shared", "shared")
+    more = _checked(rest, sets).union(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_verify_blocks, "a long, b long"))
+    more, more_at = scratch.written(more, "links")
     if more.limit(1).count():
-        comps = graph.components(links.union(more))
-    scratch.drop(spark, keys_at, first_at, apart_at, rest_at, more_at)
+        # Links between components: contracted, they are few.
+        bridges = _with_comp(_with_comp(more, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        top = graph.components(bridges)
+        ends = comps.select("node").union(more.select("a")).union(more.select("b")).distinct()
+        comps = _with_comp(_with_comp(ends, comps, "node", "low"), top, "low", "comp").select("node", "comp")
+        comps, _ = scratch.written(comps, "components")
+    scratch.drop(spark, keys_at, first_at, mixed_at, apart_at, rest_at, more_at)
     return _with_comp(rows.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "node"), comps, "node", "comp")
 
 
