@@ -1,10 +1,363 @@
-"""The query suite over the relational forms of the operators, with its SQL."""
+"""The query suite over the relational forms of the operators, with its SQL.
+
+The disc view: a disc is a customer, a track an order, ``pos`` its place by order key. Both sides
+build it alike, so every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import scalars as S
+from ..operators import chunks as C, layout as L
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: The disc view in SQL.
+T = """t AS (SELECT o_custkey AS disc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos,
+  CAST(floor(o_totalprice) AS BIGINT) % 40000 + 1 AS frames, CASE WHEN o_orderstatus = 'F' THEN 'MODE1/2352' ELSE 'AUDIO' END AS type,
+  CASE WHEN o_orderstatus <> 'F' AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 150 ELSE 0 END AS pregap FROM orders)"""
+#: The sheet layout in SQL, on top of T.
+LAID = T + """, a AS (SELECT *, sum(pregap + frames) OVER (PARTITION BY disc ORDER BY pos) AS cum, max(CASE WHEN pos = 2 THEN 2 END) OVER (PARTITION BY disc) AS hda FROM t),
+  b AS (SELECT *, max(CASE WHEN pos = 2 THEN cum END) OVER (PARTITION BY disc) AS c FROM a),
+  laid AS (SELECT disc, pos, type, frames, pregap, CAST(CASE WHEN hda IS NULL OR pos <= 2 THEN cum - frames ELSE greatest(c, 45000) + cum - frames - c END AS BIGINT) AS start_lba, hda IS NOT NULL AS gdrom FROM b)"""
+ALLOC = "CAST((frames + 3) // 4 * 4 AS BIGINT)"
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def tracks(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    kind = F.when(F.col("o_orderstatus") == "F", "MODE1/2352").otherwise("AUDIO")
+    t = o.select(F.col("o_custkey").alias("disc"), pos.alias("pos"), (F.floor("o_totalprice").cast("long") % 40000 + 1).alias("frames"), kind.alias("type"))
+    return t.withColumn("pregap", F.when((F.col("type") == "AUDIO") & (F.col("pos") > 1), 150).otherwise(0).cast("long")).withColumn("hda", F.col("pos") == 2)
+
+
+def plain(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks(spark, sf).withColumn("trailing", F.lit(0).cast("long")).withColumn("stored", F.lit(0).cast("long"))
+
+
+def laid(spark: SparkSession, sf: str) -> DataFrame:
+    return L.cue_layout(tracks(spark, sf))
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("WITH l AS (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS items FROM lineitem GROUP BY 1), s AS (SELECT items, min(l_orderkey) AS title, count(*) AS titles FROM l GROUP BY 1) SELECT l_orderkey, title, CAST(titles AS BIGINT) AS titles, l.items FROM l JOIN s USING (items)")
+def catalogue_match(spark, sf):
+    """Every order's multiset of line flags against the catalogue of all multisets."""
+    lines = read(spark, sf, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("item"))
+    sets = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    titles = sets.groupBy("items").agg(F.min("l_orderkey").alias("title"), F.count("*").alias("titles"))
+    return sets.join(titles, "items").select("l_orderkey", "title", "titles", "items")
+
+
+@query(f"WITH {LAID} SELECT disc, pos, start_lba, gdrom, frames * 2352 AS bytes FROM laid")
+def layout_lba(spark, sf):
+    """L1, L15."""
+    return L.with_bytes(laid(spark, sf)).select("disc", "pos", "start_lba", "gdrom", "bytes")
+
+
+@query(f"WITH {T} SELECT disc, pos, {ALLOC} AS total, CAST(coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_lba FROM t")
+def alloc_lba(spark, sf):
+    """L3, L4."""
+    return L.allocate(plain(spark, sf)).select("disc", "pos", "total", "start_lba")
+
+
+@query(f"WITH {T}, s AS (SELECT disc, CAST(sum({ALLOC}) AS BIGINT) AS stored_frames FROM t GROUP BY 1) SELECT disc, stored_frames, (stored_frames + 7) // 8 AS hunks, (stored_frames + 7) // 8 * 19584 AS write_bytes FROM s")
+def disc_allocation(spark, sf):
+    """L5."""
+    return L.disc_allocation(plain(spark, sf))
+
+
+@query(f"WITH {T} SELECT disc, pos, frames - CASE WHEN pos > 1 THEN pregap ELSE 0 END AS frames, CAST(lead(pregap, 1, 0) OVER (PARTITION BY disc ORDER BY pos) AS BIGINT) AS trailing FROM t")
+def pregap_shift(spark, sf):
+    """L6."""
+    return L.shift_pregaps(tracks(spark, sf)).select("disc", "pos", "frames", "trailing")
+
+
+@query(f"WITH {T}, n AS (SELECT *, 45000 - coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS need FROM t) SELECT disc, pos, CAST(CASE WHEN pos = 2 AND need >= frames THEN need ELSE 0 END AS BIGINT) AS stored FROM n")
+def bridge_pad(spark, sf):
+    """L7, L12."""
+    return L.pad_bridge(laid(spark, sf)).select("disc", "pos", "stored")
+
+
+@query(f"WITH {T}, p AS (SELECT *, {ALLOC} + 152 * (pos % 2) AS total FROM t), q AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_lba, lag(type) OVER w AS before, lag(total - frames) OVER w AS room FROM p WINDOW w AS (PARTITION BY disc ORDER BY pos)) SELECT disc, pos, CAST(start_lba AS BIGINT) AS start_lba, CAST(CASE WHEN before <> 'AUDIO' AND room >= 150 AND start_lba <> 45000 AND type = 'AUDIO' THEN 150 ELSE 0 END AS BIGINT) AS inferred FROM q")
+def pregap_infer(spark, sf):
+    """L8."""
+    t = tracks(spark, sf).withColumn("real", F.col("frames")).withColumn("total", S.align_up(F.col("frames"), 4) + 152 * (F.col("pos") % 2)).withColumn("gdrom", F.lit(True))
+    return L.infer_pregaps(t).select("disc", "pos", "start_lba", "inferred")
+
+
+SPANS = LAID + ", sp AS (SELECT disc, pos, start_lba - pregap AS span_start, least(start_lba + frames, coalesce(lead(start_lba - pregap) OVER (PARTITION BY disc ORDER BY pos), 1099511627776)) AS span_end FROM laid)"
+
+
+@query(f"WITH {SPANS} SELECT disc, pos, span_start, span_end FROM sp")
+def spans(spark, sf):
+    """L9."""
+    return L.spans(laid(spark, sf)).select("disc", "pos", "span_start", "span_end")
+
+
+@query(f"WITH {SPANS}, e AS (SELECT event_id, user_id % 1000 + 1 AS disc, event_id * 7 AS lba FROM events) SELECT event_id, e.disc, lba, pos, lba - span_start AS sector FROM e JOIN sp ON e.disc = sp.disc AND lba >= span_start AND lba < span_end")
+def sector_route(spark, sf):
+    """Every event as a probe into its disc's spans."""
+    e = read(spark, sf, "events").select("event_id", (F.col("user_id") % 1000 + 1).alias("disc"), (F.col("event_id") * 7).alias("lba"))
+    return L.route(e, L.spans(laid(spark, sf))).select("event_id", "disc", "lba", "pos", "sector")
+
+
+@query(f"WITH {T.replace('% 40000 + 1', '% 64 + 1')}, a AS (SELECT disc, pos, frames, {ALLOC} AS total, CAST(coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_lba FROM t), s AS (SELECT *, unnest(range(total)) AS frame FROM a) SELECT disc, pos, frame, (start_lba + frame) // 8 AS hunk, (start_lba + frame) % 8 AS slot, frame >= frames AS padding FROM s")
+def hunk_slots(spark, sf):
+    """Short tracks, so that every slot of every disc is a row."""
+    return L.hunk_slots(plain(spark, sf).withColumn("frames", F.lit(0) + (F.col("frames") - 1) % 64 + 1))
+
+
+CUT = "h AS (SELECT doc_id, k AS hunk, substr(text, CAST(k * 64 + 1 AS BIGINT), 64) AS data FROM (SELECT doc_id, text, unnest(range((length(text) + 63) // 64)) AS k FROM documents))"
+
+
+@query(f"WITH {CUT} SELECT doc_id, CAST(hunk AS BIGINT) AS hunk, length(data) AS n, sha1(data) AS digest FROM h")
+def chunk_explode(spark, sf):
+    """Whole texts in pieces of 64 characters."""
+    return C.cut(read(spark, sf, "documents"), "doc_id", "text", 64).select("doc_id", "hunk", F.length("data").cast("long").alias("n"), F.sha1("data").alias("digest"))
+
+
+REFS = CUT + ", f AS (SELECT doc_id, CAST(hunk AS BIGINT) AS hunk, min(CAST(hunk AS BIGINT)) OVER (PARTITION BY doc_id, data) AS first FROM h)"
+
+
+@query(f"WITH {REFS} SELECT doc_id, hunk, CASE WHEN first < hunk THEN first END AS self_hunk FROM f")
+def dedup_self(spark, sf):
+    """C2, J5."""
+    return C.dedup(C.cut(read(spark, sf, "documents"), "doc_id", "text", 64), "doc_id").select("doc_id", "hunk", "self_hunk")
+
+
+#: Single characters as hunks, so that references abound.
+CHARS = "f AS (SELECT doc_id, i AS hunk, min(i) OVER (PARTITION BY doc_id, substr(text, CAST(i + 1 AS BIGINT), 1)) AS first FROM (SELECT doc_id, text, unnest(range(least(length(text), length(text)))) AS i FROM (SELECT doc_id, substr(text, 1, 64) AS text FROM documents))), r AS (SELECT doc_id, hunk, first AS self_hunk FROM f WHERE first < hunk), p AS (SELECT *, coalesce(lag(self_hunk) OVER (PARTITION BY doc_id ORDER BY hunk), 0) AS last FROM r), y AS (SELECT doc_id, hunk, self_hunk, CASE WHEN self_hunk = last THEN 'SELF_0' WHEN self_hunk = last + 1 THEN 'SELF_1' ELSE 'SELF' END AS symbol FROM p)".replace("least(length(text), length(text))", "length(text)")
+
+
+def _letters(spark, sf):
+    heads = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 64).alias("text"))
+    return C.promote(C.dedup(C.cut(heads, "doc_id", "text", 1), "doc_id"), "doc_id")
+
+
+@query(f"WITH {CHARS} SELECT doc_id, CAST(hunk AS BIGINT) AS hunk, CAST(self_hunk AS BIGINT) AS self_hunk, symbol FROM y")
+def promote_self(spark, sf):
+    """A disc here is a document's first hunk, cut to letters."""
+    return _letters(spark, sf).select("doc_id", "hunk", "self_hunk", "symbol")
+
+
+@query(f"WITH {CHARS}, m AS (SELECT doc_id, coalesce(max(CASE WHEN symbol = 'SELF' THEN self_hunk END), 0) AS m FROM y GROUP BY 1) SELECT doc_id, CAST(CASE WHEN m = 0 THEN 0 ELSE length(bin(m)) END AS BIGINT) AS width FROM m")
+def self_width(spark, sf):
+    """A9."""
+    return C.self_width(_letters(spark, sf), "doc_id")
+
+
+@query("SELECT doc_id, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
+def track_sha1(spark, sf):
+    """A4, A5."""
+    return read(spark, sf, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id, sha1(text) AS sha1 FROM documents WHERE length(text) > 0")
+def raw_sha1(spark, sf):
+    """A1: hunks put together again in order."""
+    return C.ordered_sha1(C.cut(read(spark, sf, "documents"), "doc_id", "text", 64), "doc_id")
+
+
+@query("WITH d AS (SELECT source, sha1(text) AS h FROM documents) SELECT source, sha1(unhex(sha1(source) || string_agg(h, '' ORDER BY h))) AS combined FROM d GROUP BY source")
+def combined_sha1(spark, sf):
+    """A2, A3: a source's digest over its documents' digests, in bytewise order."""
+    d = read(spark, sf, "documents").select("source", F.sha1("source").alias("raw"), F.sha1("text").alias("h"))
+    return C.combined_sha1(d, "source", "raw", "h")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, exists (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25) AS known FROM lineitem")
+def known(spark, sf):
+    """J3, A8."""
+    parts = read(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return C.known(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey")
+
+
+@query("WITH p AS (SELECT DISTINCT event_id // 2 AS user_id, event_type FROM events), c AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'error' ELSE 'purchase' END AS event_type FROM orders), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY 1), h AS (SELECT user_id, o_custkey, count(*) AS m FROM p JOIN c USING (event_type) GROUP BY 1, 2) SELECT user_id, CAST(count(*) AS BIGINT) AS titles, min(o_custkey) AS first_title FROM h JOIN n USING (user_id) WHERE m = n GROUP BY 1")
+def candidates(spark, sf):
+    """Customers whose kinds of order hold every kind of a pair of events."""
+    probe = read(spark, sf, "events").select(S.idiv(F.col("event_id"), 2).alias("user_id"), "event_type")
+    kind = F.when(F.col("o_orderstatus") == "F", "click").when(F.col("o_orderstatus") == "O", "error").otherwise("purchase")
+    cat = read(spark, sf, "orders").select("o_custkey", kind.alias("event_type"))
+    return C.candidates(probe, cat, "user_id", "o_custkey", "event_type").groupBy("user_id").agg(F.count("*").alias("titles"), F.min("o_custkey").alias("first_title"))
+
+
+@query(f"WITH {T} SELECT disc, CAST(count(*) AS BIGINT) AS tracks, CAST(sum(frames) * 2352 AS BIGINT) AS bytes, bool_or(type = 'AUDIO') AS any_audio, CAST(count(*) FILTER (WHERE type = 'AUDIO') AS BIGINT) AS audio FROM t GROUP BY disc")
+def disc_summary(spark, sf):
+    """A7, A8, A12."""
+    t = L.with_bytes(tracks(spark, sf))
+    return t.groupBy("disc").agg(F.count("*").alias("tracks"), F.sum("bytes").alias("bytes"), F.bool_or(S.is_audio(F.col("type"))).alias("any_audio"), F.count_if(S.is_audio(F.col("type"))).alias("audio"))
+
+
+@query(f"WITH {T} SELECT disc, pos, frames, printf('%02d:%02d:%02d', frames // 4500, frames // 75 % 60, frames % 75) AS msf, frames AS back FROM t")
+def msf(spark, sf):
+    """F1 to F3."""
+    t = tracks(spark, sf).withColumn("msf", S.frames_as_msf(F.col("frames")))
+    return t.select("disc", "pos", "frames", "msf", S.parse_msf(F.col("msf")).alias("back"))
+
+
+@query(f"WITH {T} SELECT disc, pos, CAST(pos AS VARCHAR) AS track, CASE WHEN type = 'AUDIO' THEN 'AUDIO' ELSE 'MODE1_RAW' END AS kind, frames FROM t")
+def kv_parse(spark, sf):
+    """Metadata text written and parsed back; the last duplicate wins."""
+    t = tracks(spark, sf)
+    text = F.format_string("TRACK:0 JUNK TRACK:%d TYPE:%s SUBTYPE:NONE FRAMES:%d", F.col("pos"), S.archive_type(F.col("type")), F.col("frames"))
+    kv = S.parse_kv(text)
+    return t.select("disc", "pos", kv["TRACK"].alias("track"), kv["TYPE"].alias("kind"), kv["FRAMES"].try_cast("long").alias("frames"))
+
+
+@query(f"WITH {LAID} SELECT disc, pos, pos AS number, start_lba AS lba, CASE WHEN type = 'AUDIO' THEN 'AUDIO' ELSE 'MODE1/2352' END AS type, printf('my track%02d.', pos) || CASE WHEN type = 'AUDIO' THEN 'raw' ELSE 'bin' END AS file FROM laid")
+def gdi_parse(spark, sf):
+    """Lines with quoted names, written and parsed back."""
+    t = laid(spark, sf)
+    name = F.concat(F.lit('"my '), S.track_file_name(F.col("pos"), F.col("type")), F.lit('"'))
+    line = F.concat_ws(" ", "pos", "start_lba", F.when(S.is_audio(F.col("type")), 0).otherwise(4), F.lit(2352), name, F.lit(0))
+    f = S.split_fields(line)
+    return t.select("disc", "pos", f[0].try_cast("long").alias("number"), f[1].try_cast("long").alias("lba"), S.gdi_cue_type(f[2].try_cast("int")).alias("type"), f[4].alias("file"))
+
+
+def _sheet(t: DataFrame, line) -> DataFrame:
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    return t.groupBy("disc").agg(lines.alias("sheet"))
+
+
+@query(f"WITH {T} SELECT disc, string_agg('FILE \"' || printf('track%02d.', pos) || CASE WHEN type = 'AUDIO' THEN 'raw' ELSE 'bin' END || '\" BINARY' || chr(10) || '  TRACK ' || printf('%02d', pos) || ' ' || type || chr(10) || CASE WHEN pregap > 0 THEN '    INDEX 00 00:00:00' || chr(10) || '    INDEX 01 00:02:00' ELSE '    INDEX 01 00:00:00' END, chr(10) ORDER BY pos) AS sheet FROM t GROUP BY disc")
+def cue_render(spark, sf):
+    """K3."""
+    index = F.when(F.col("pregap") > 0, F.concat(F.lit("    INDEX 00 00:00:00\n    INDEX 01 "), S.frames_as_msf(F.col("pregap")))).otherwise("    INDEX 01 00:00:00")
+    line = F.concat(F.lit('FILE "'), S.track_file_name(F.col("pos"), F.col("type")), F.lit('" BINARY\n  TRACK '), F.format_string("%02d ", "pos"), "type", F.lit("\n"), index)
+    return _sheet(tracks(spark, sf), line)
+
+
+@query(f"WITH {LAID} SELECT disc, CAST(count(*) AS VARCHAR) || chr(10) || string_agg(pos || ' ' || start_lba || ' ' || CASE WHEN type = 'AUDIO' THEN 0 ELSE 4 END || ' 2352 ' || printf('track%02d.', pos) || CASE WHEN type = 'AUDIO' THEN 'raw' ELSE 'bin' END || ' 0 ', chr(10) ORDER BY pos) AS sheet FROM laid GROUP BY disc")
+def gdi_render(spark, sf):
+    """K4: the count, then a line a track with its trailing blank."""
+    t = laid(spark, sf)
+    line = F.concat(F.concat_ws(" ", "pos", "start_lba", F.when(S.is_audio(F.col("type")), 0).otherwise(4), F.lit("2352"), S.track_file_name(F.col("pos"), F.col("type"))), F.lit(" 0 "))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    return t.groupBy("disc").agg(F.concat(F.count("*").cast("string"), F.lit("\n"), lines).alias("sheet"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS released, CASE o_orderstatus WHEN 'F' THEN 'Japan' WHEN 'O' THEN 'Japan,Europe' ELSE '' END AS regions, ' 1/' || (o_custkey % 4 + 1) AS disc FROM orders")
+def header_fields(spark, sf):
+    """Fixed-width headers, rendered and cut again."""
+    o = read(spark, sf, "orders")
+    area = F.when(F.col("o_orderstatus") == "F", "J  ").when(F.col("o_orderstatus") == "O", "J E").otherwise("  J")
+    head = F.concat(F.rpad(F.lit("HARDWARE"), 16, " "), F.rpad(F.concat(F.lit("9999 GD-ROM 1/"), (F.col("o_custkey") % 4 + 1).cast("string")), 32, " "), F.rpad(area, 8, " "), F.date_format("o_orderdate", "yyyyMMdd"))
+    field = lambda a, n: F.regexp_replace(F.substring(head, a, n), r"[\s\x00]+$", "")
+    return o.select("o_orderkey", S.release_date(field(57, 8)).alias("released"), F.array_join(S.regions(F.substring(head, 49, 8)), ",").alias("regions"), S.disc_number(field(17, 32)).alias("disc"))
+
+
+BITS = " || ".join(f"CASE WHEN (k >> {bit}) & 1 = 1 THEN ',{name}' ELSE '' END" for bit, name in S.PERIPHERALS)
+
+
+@query(f"SELECT event_id, substr({BITS}, 2) AS names FROM (SELECT event_id, event_id * 7919 % 268435456 AS k FROM events)")
+def peripheral_bits(spark, sf):
+    """F19."""
+    return read(spark, sf, "events").select("event_id", F.array_join(S.peripherals(F.lpad(F.hex(F.col("event_id") * 7919 % 268435456), 7, "0")), ",").alias("names"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', round_even(n / 1024.0, 1)) WHEN n < 1073741824 THEN printf('%.1f MiB', round_even(n / 1048576.0, 1)) ELSE printf('%.2f GiB', round_even(n / 1073741824.0, 2)) END AS size, n_chars || ' char' || CASE WHEN n_chars = 1 THEN '' ELSE 's' END AS chars FROM (SELECT doc_id, n_chars, n_chars * n_chars * 128 AS n FROM documents)")
+def format_bytes(spark, sf):
+    """F20, F22."""
+    return read(spark, sf, "documents").select("doc_id", S.format_bytes(F.col("n_chars") * F.col("n_chars") * 128).alias("size"), S.plural(F.col("n_chars"), "char").alias("chars"))
+
+
+@query("SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+def slug(spark, sf):
+    """F23."""
+    return read(spark, sf, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT o_orderkey, lower(lpad(hex(o_orderkey), 12, '0')) AS be48, o_orderkey AS back, lower(lpad(hex(o_custkey), 6, '0')) AS be24 FROM orders")
+def be_ints(spark, sf):
+    """F12."""
+    o = read(spark, sf, "orders").withColumn("be48", S.be_hex(F.col("o_orderkey"), 6))
+    return o.select("o_orderkey", "be48", S.from_be_hex(F.col("be48")).alias("back"), S.be_hex(F.col("o_custkey"), 3).alias("be24"))
+
+
+@query("SELECT doc_id, sha1(regexp_replace(lower(hex(encode(text))), '(..)(..)', '\\2\\1', 'g')) AS swapped FROM documents")
+def byte_swap(spark, sf):
+    """C17: whole texts."""
+    return read(spark, sf, "documents").select("doc_id", F.sha1(S.swap_pairs(F.lower(F.hex(F.encode("text", "UTF-8"))))).alias("swapped"))
+
+
+@query("SELECT event_id, event_type, unnest(range(1, event_id % 5 + 3)) AS i FROM events")
+def rle_expand(spark, sf):
+    """A run symbol is 2 + n records."""
+    return C.expand_runs(read(spark, sf, "events").withColumn("n", F.col("event_id") % 5 + 2), "event_id", "event_type", "n")
+
+
+@query("WITH v(symbol, bits) AS (VALUES (0, 1), (1, 3), (4, 3), (5, 3), (9, 4), (10, 4)), s AS (SELECT symbol, bits, (SELECT coalesce(sum(power(2.0, v.bits - w.bits)), 0) FROM v w WHERE w.bits > v.bits) AS start FROM v) SELECT symbol, bits, CAST(start AS BIGINT) + row_number() OVER (PARTITION BY bits ORDER BY symbol) - 1 AS code FROM s")
+def canonical_codes(spark, sf):
+    """The writer's tree with audio."""
+    return C.canonical_codes(spark.createDataFrame([(0, 1), (1, 3), (4, 3), (5, 3), (9, 4), (10, 4)], "symbol int, bits int"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS newest, count(*) = 1 AS only_one FROM events GROUP BY user_id")
+def newest(spark, sf):
+    """A11, A13."""
+    return read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest"), (F.count("*") == 1).alias("only_one"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'chd' WHEN '2-HIGH' THEN 'cue' ELSE 'gdi' END AS fmt FROM orders")
+def output_format(spark, sf):
+    """flag, then extension, then gdi."""
+    o = read(spark, sf, "orders")
+    flag = F.when(F.col("o_orderpriority") == "1-URGENT", "CHD").otherwise("")
+    path = F.when(F.col("o_orderpriority") == "2-HIGH", "a/b.Cue").otherwise("out.tar")
+    return o.select("o_orderkey", S.output_format(flag, path).alias("fmt"))
+
+
+@query("WITH c AS (SELECT doc_id, hunk, CASE WHEN length(data) < 40 THEN 'none' WHEN hunk % 3 = 0 AND length(replace(data, ' ', '')) < length(data) - 9 THEN 'flac' ELSE 'deflate' END AS codec FROM h) SELECT codec, CAST(count(*) AS BIGINT) AS hunks FROM c GROUP BY codec".replace("WITH c", f"WITH {CUT}, c"))
+def codec_choice(spark, sf):
+    """Audio hunks try a second codec, which must be strictly smaller; small gains are stored raw."""
+    h = C.cut(read(spark, sf, "documents"), "doc_id", "text", 64)
+    raw = F.length("data")
+    deflate = F.when(raw < 40, raw).otherwise(raw - 9)
+    flac = F.when(F.col("hunk") % 3 == 0, F.length(F.replace("data", F.lit(" "), F.lit(""))))
+    best = F.when(F.least(deflate, F.coalesce(flac, deflate)) >= raw, "none").when((raw >= 40) & (flac < deflate), "flac").otherwise(F.when(raw < 40, "none").otherwise("deflate"))
+    return h.select(best.alias("codec")).groupBy("codec").agg(F.count("*").alias("hunks"))
+
+
+CRC = "list_reduce(list_prepend(65535, list_transform(range(1, 17), lambda i: ascii(substr(b, CAST(i AS BIGINT), 1)))), lambda a, x: list_reduce(list_prepend(xor(a, x << 8), range(8)), lambda c, k: CASE WHEN c & 32768 <> 0 THEN xor((c << 1) & 65535, 4129) ELSE (c << 1) & 65535 END))"
+
+
+@query(f"SELECT o_orderkey, CAST({CRC} AS BIGINT) AS crc FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 16, '0') AS b FROM orders)")
+def crc16(spark, sf):
+    """A6."""
+    return read(spark, sf, "orders").select("o_orderkey", S.crc16(F.lpad(F.col("o_orderkey").cast("string"), 16, "0").cast("binary")).cast("long").alias("crc"))
+
+
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 16, '0') AS b FROM orders) WHERE {CRC} <> CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE {CRC} END")
+def crc_check(spark, sf):
+    """Stored checksums, with a fault in every tenth, against computed ones."""
+    crc = S.crc16(F.lpad(F.col("o_orderkey").cast("string"), 16, "0").cast("binary"))
+    o = read(spark, sf, "orders").select("o_orderkey", crc.alias("crc"))
+    return o.filter(F.col("crc") != F.when(F.col("o_orderkey") % 10 == 0, 0).otherwise(F.col("crc"))).select("o_orderkey")
+
+
+@query(None)
+def report_json(spark, sf):
+    """A report a disc; empty fields are left out."""
+    t = laid(spark, sf)
+    track = F.struct("pos", F.col("pos").alias("number"), "type", "start_lba", "frames", F.nullif("pregap", F.lit(0)).alias("pregap"))
+    return t.groupBy("disc").agg(F.to_json(F.struct(F.lit("cue").alias("format"), F.bool_or("gdrom").alias("gdrom"), F.array_sort(F.collect_list(track)).alias("tracks"))).alias("json"))
+
 
 def queries() -> dict:
     return dict(QUERIES)
