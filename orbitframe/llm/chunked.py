@@ -8,6 +8,7 @@ there is always a pre-token boundary.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -52,10 +53,10 @@ class WordIds:
     encode: gives the packed ids of each of some words. blank: whether a word's leading blank
     belongs to it (byte-level patterns) or white space is dropped. fold: whether the tokenizer
     lower-cases, so that Latin-1 texts may be folded before the look-up. most: words kept; when
-    more are seen, the table starts anew (this changes speed, never ids).
+    more are seen, the newer half goes (this changes speed, never ids).
     """
 
-    def __init__(self, encode: Encode, blank: bool, fold: bool = False, most: int = 1_500_000):
+    def __init__(self, encode: Encode, blank: bool, fold: bool = False, most: int = 900_000):
         self.encode, self.blank, self.fold, self.most = encode, blank, fold, most
         self.plain: dict[str, bytes] = {}
         self.led: dict[str, bytes] = {} if blank else self.plain
@@ -86,8 +87,9 @@ class WordIds:
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         if len(self.plain) + len(self.led) * self.blank > self.most:
-            self.plain.clear()
-            self.led.clear()
+            # Frequent words were met early: the older half stays.
+            self.plain = dict(itertools.islice(self.plain.items(), len(self.plain) // 2))
+            self.led = dict(itertools.islice(self.led.items(), len(self.led) // 2)) if self.blank else self.plain
         if not self.blank:
             cut = [t.split() if not SEPARATORS.search(t) else WORDS.findall(t) for t in texts]
             words: set[str] = set()

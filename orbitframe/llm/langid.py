@@ -93,7 +93,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: st
 
 
 class Scorer:
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self, model: TextModel):
         self.model, self.rows, self.vectors, self.used = model, {}, np.zeros((1024, len(model.languages) + 1)), 0
