@@ -177,7 +177,8 @@ def library_words(path: str, blank: bool) -> WordIds:
             out[i] = np.array(x.ids, kind).tobytes()
         return out
 
-    words = WordIds(encode, blank, fold=not blank)
+    # Without led words there is one table, so it may hold more.
+    words = WordIds(encode, blank, fold=not blank, most=900_000 if blank else 1_300_000)
     words.dtype = np.dtype(kind)
     words.tokenizer = t
     return words
