@@ -58,11 +58,11 @@ def track_file_name(number: Column, kind: Column) -> Column:
 
 
 def archive_type(kind: Column) -> Column:
-    return F.when(is_audio(kind), "AUDIO").when(F.upper(kind).startswith("MODE2"), "MODE2_RAW").otherwise("MODE1_RAW")
+    return F.when(is_audio(kind), "AUDIO").when(F.upper(kind) == "MODE2/2352", "MODE2_RAW").otherwise("MODE1_RAW")
 
 
 def cue_type(kind: Column) -> Column:
-    return F.when(kind == "AUDIO", "AUDIO").when(kind.startswith("MODE2"), "MODE2/2352").otherwise("MODE1/2352")
+    return F.when(kind == "AUDIO", "AUDIO").when(kind == "MODE2_RAW", "MODE2/2352").otherwise("MODE1/2352")
 
 
 def parse_kv(text: Column) -> Column:

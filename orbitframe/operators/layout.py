@@ -61,8 +61,8 @@ def shift_pregaps(t: DataFrame) -> DataFrame:
 
 
 def pad_bridge(t: DataFrame) -> DataFrame:
-    """The bridge track is stored up to 45,000 if it fits."""
-    need = F.lit(S.HDA) - sum_before(S.align_up(F.col("frames"), 4))
+    """The bridge track is stored up to 45,000 if it fits; tracks before it hold their trailing pregap too."""
+    need = F.lit(S.HDA) - sum_before(S.align_up(F.col("frames") + F.col("trailing"), 4))
     return t.withColumn("stored", F.when((F.col("pos") == F.col("bridge")) & (need >= F.col("frames")), need).otherwise(F.lit(0)).cast("long"))
 
 

@@ -91,7 +91,7 @@ def pregap_shift(spark, sf):
 @query(f"WITH {T}, n AS (SELECT *, 45000 - coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS need FROM t) SELECT disc, pos, CAST(CASE WHEN pos = 2 AND need >= frames THEN need ELSE 0 END AS BIGINT) AS stored FROM n")
 def bridge_pad(spark, sf):
     """L7, L12."""
-    return L.pad_bridge(laid(spark, sf)).select("disc", "pos", "stored")
+    return L.pad_bridge(laid(spark, sf).withColumn("trailing", F.lit(0).cast("long"))).select("disc", "pos", "stored")
 
 
 @query(f"WITH {T}, p AS (SELECT *, {ALLOC} + 152 * (pos % 2) AS total FROM t), q AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_lba, lag(type) OVER w AS before, lag(total - frames) OVER w AS room FROM p WINDOW w AS (PARTITION BY disc ORDER BY pos)) SELECT disc, pos, CAST(start_lba AS BIGINT) AS start_lba, CAST(CASE WHEN before <> 'AUDIO' AND room >= 150 AND start_lba <> 45000 AND type = 'AUDIO' THEN 150 ELSE 0 END AS BIGINT) AS inferred FROM q")
