@@ -23,6 +23,8 @@ def detect(path: str) -> tuple[str, str]:
         ext = os.path.splitext(path)[1][1:].lower()
         if ext not in FORMATS:
             raise ValueError(f"{path}: not one of {', '.join(FORMATS)}")
+        if not os.path.getsize(path):
+            raise ValueError(f"{path}: the file is empty")
         return path, ext
     if not os.path.isdir(path):
         raise FileNotFoundError(path)
@@ -32,7 +34,7 @@ def detect(path: str) -> tuple[str, str]:
         if len(found) > 1:
             raise ValueError(f"{path}: {len(found)} {ext} files, name one")
         if found:
-            return found[0], ext
+            return detect(found[0])
     raise FileNotFoundError(f"{path}: no image there")
 
 

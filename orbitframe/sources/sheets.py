@@ -22,7 +22,7 @@ HEADER = ("hardware_id", "maker_id", "title", "maker", "product_no", "version",
 
 
 def read_sheets(spark: SparkSession, root: str, ext: str) -> DataFrame:
-    """(path, content) of the sheets with that extension, in any case, at or below a path."""
+    """(path, content) of the sheets with that extension, in any case, at or below a path; files of no bytes aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.filter(F.lower("path").endswith("." + ext)).select("path", "content")
 

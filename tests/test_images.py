@@ -198,7 +198,7 @@ def test_sheets(spark, tmp_path):
     t = H.cue_tracks(H.read_sheets(spark, sheet, "cue")).orderBy("track_pos").collect()
     assert [(r["name"], r["rem"], r["number"], r["type"], r["indexes"]) for r in t] == [("x.bin", "last", 1, "MODE1/2352", [0]), ("x.bin", "last", 2, "AUDIO", [75, 225])]
     assert [(r["pos"], r["frames"]) for r in engine.layout(spark, sheet, "cue").collect()] == [(1, 300)]
-    for text in ("", "nonsense", 'FILE "x.bin" BINARY\n', 'FILE "x.bin" BINARY\nTRACK xx AUDIO\n', 'FILE "x.bin" BINARY\nTRACK 1 AUDIO\nINDEX 01 00:60:00\n'):
+    for text in (" \n", "nonsense", 'FILE "x.bin" BINARY\n', 'FILE "x.bin" BINARY\nTRACK xx AUDIO\n', 'FILE "x.bin" BINARY\nTRACK 1 AUDIO\nINDEX 01 00:60:00\n'):
         bad = write(tmp_path, "bad.cue", text)
         with pytest.raises(Exception):
             engine.layout(spark, bad, "cue").collect()
@@ -239,15 +239,17 @@ def test_catalogue(spark, tmp_path):
 
 
 def test_detect(tmp_path):
-    write(tmp_path, "A.GDI", "")
+    write(tmp_path, "A.GDI", "1\n")
     assert engine.detect(str(tmp_path))[1] == "gdi"
-    write(tmp_path, "b.cue", "")
+    write(tmp_path, "b.cue", "x")
     assert engine.detect(str(tmp_path))[1] == "cue"
     write(tmp_path, "c.cue", "")
     with pytest.raises(ValueError):
         engine.detect(str(tmp_path))
     with pytest.raises(FileNotFoundError):
         engine.detect(str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="empty"):
+        engine.detect(write(tmp_path, "d.chd", ""))
 
 
 def test_layout_columns_of_bridge(spark):
