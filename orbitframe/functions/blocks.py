@@ -20,6 +20,8 @@ HUNK = SLOT * HUNK_SLOTS
 SYNC = np.frombuffer(b"\0" + b"\xff" * 10 + b"\0", np.uint8)
 #: The parity fields as (first byte written, codewords, symbols of each, step of a pair of codewords, step of a symbol).
 PARITY = ((2076, 86, 24, 2, 86), (2248, 52, 43, 86, 88))
+#: Sectors from which on parity is computed side by side.
+MANY = 64
 #: Fixed value: decoded bytes that a zstandard block may have at most.
 ZSTD_MOST = 16 << 20
 
@@ -67,17 +69,32 @@ def codewords(field: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_parity(sectors: np.ndarray) -> np.ndarray:
-    """Sectors (n, 2352) with sync and both parity fields as they have to be."""
+    """Sectors (n, 2352) with sync and both parity fields as they have to be.
+
+    A hunk's few sectors are multiplied out by a table. Many sectors lie side by side, so that a
+    symbol of all of them is one row; a weighted sum is then the sums of the rows whose weight has
+    a bit, from the highest bit down, doubled at each step.
+    """
     out = sectors.copy()
     out[:, :12] = SYNC
-    for field, (first, count, *_) in enumerate(PARITY):
+    for field, (first, count, symbols, *_) in enumerate(PARITY):
         at, weight = codewords(field)
-        body = out[:, 12:].copy()
+        body = out[:, 12:first].copy()
         body[out[:, 15] == 2, :4] = 0  # mode 2 counts its address as zero
-        symbols = body[:, at]
-        total = np.bitwise_xor.reduce(symbols, axis=2)
-        head = np.bitwise_xor.reduce(products()[weight, symbols], axis=2)
-        out[:, first : first + count], out[:, first + count : first + 2 * count] = head, head ^ total
+        if len(out) < MANY:
+            parts = body[:, at]
+            total = np.bitwise_xor.reduce(parts, axis=2)
+            head = np.bitwise_xor.reduce(products()[weight, parts], axis=2)
+            out[:, first : first + 2 * count] = np.concatenate((head, head ^ total), axis=1)
+            continue
+        body = np.ascontiguousarray(body.T)
+        rows = [body[at[:, k]] for k in range(symbols)]
+        total, head = np.bitwise_xor.reduce(rows), np.zeros((count, len(out)), np.uint8)
+        for bit in range(7, -1, -1):
+            head = head << 1 ^ (head >> 7) * np.uint8(0x1D)
+            for k in np.flatnonzero(weight >> bit & 1):
+                head ^= rows[k]
+        out[:, first : first + count], out[:, first + count : first + 2 * count] = head.T, (head ^ total).T
     return out
 
 
