@@ -257,3 +257,16 @@ def test_layout_columns_of_bridge(spark):
     t = spark.createDataFrame(rows, "disc string, pos long, frames long, pregap long, bridge long")
     out = L.pad_bridge(L.shift_pregaps(t)).orderBy("pos").collect()
     assert [(r["frames"], r["trailing"], r["stored"]) for r in out] == [(450, 150, 0), (9918, 0, 44400), (504150, 0, 0)]
+
+
+def test_arrivals(spark, tmp_path, work):
+    from orbitframe.streaming.arrivals import verify_arrivals
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    sheet = cue(tmp_path, [("MODE1/2352", varied(9, 7))])
+    for name in ("a", "b"):
+        engine.convert(spark, sheet, str(inbox / f"{name}.chd"), work=work)
+        assert verify_arrivals(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("path").collect()
+    assert [(os.path.basename(r["path"]), r["error"]) for r in rows] == [("a.chd", None), ("b.chd", None)]
