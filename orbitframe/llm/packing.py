@@ -4,7 +4,7 @@ Documents follow one another by doc_id. A dynamic programme over possible cuts (
 of sentences, and a grid inside longer runs) chooses windows of at most ``size`` ids so that padding
 plus penalties for cut sentences is least: best[j] = min over i in the window of best[i] + size -
 (pos[j] - pos[i]) + penalty[j]. As best[i] + pos[i] is all that depends on i, a monotone queue gives
-each transition in constant time. Each range partition of doc_id is packed by itself, in runs of
+the best start; every end of a document or sentence is a cut. Each range partition of doc_id is packed by itself, in runs of
 about RUN ids, which adds one shorter window for a run.
 
 Defined cases: a null text counts as empty (only the end id); null doc_ids come first; rows that
@@ -28,51 +28,63 @@ from .chunked import worker_words
 RUN = 1 << 20
 #: Penalties in ids: a cut at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 2, 12
-#: Of sentences that end within a stretch of so many ids, the first is a cut.
-APART = 32
 #: Gaps between cuts longer than LONG get cuts each GRID ids.
-LONG, GRID = 96, 48
+LONG, GRID = 48, 24
+#: No cut; more than any penalty.
+NONE = 255
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, ascending, and their penalties. The last is the end."""
-    stops = np.flatnonzero(sentence_end[ids]) + 1
-    stops = stops[np.diff(stops // APART, prepend=-1) > 0]
-    known = np.unique(np.concatenate([[0], stops, doc_ends]))
+    cost = np.full(len(ids) + 1, NONE, np.uint8)
+    cost[1:][sentence_end[ids]] = AT_SENTENCE
+    cost[doc_ends] = 0
+    cost[0] = NONE
+    known = np.concatenate([[0], np.flatnonzero(cost != NONE)])
     gaps = np.diff(known)
     wide = np.flatnonzero(gaps > LONG)
-    more = [np.arange(a + GRID, b, GRID) for a, b in zip(known[wide].tolist(), known[wide + 1].tolist())]
-    every = np.concatenate([known, *more]) if more else known
-    penalty = np.full(len(every), IN_SENTENCE, np.int64)
-    penalty[: len(known)] = AT_SENTENCE
-    penalty[: len(known)][np.isin(known, doc_ends)] = 0
-    order = np.argsort(every, kind="stable")  # two ascending runs: a merge
-    every, penalty = every[order], penalty[order]
-    return every[1:], penalty[1:]
+    count = (gaps[wide] - 1) // GRID
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+    cost[np.repeat(known[wide], count) + GRID * step] = IN_SENTENCE
+    every = np.flatnonzero(cost != NONE)
+    return every, cost[every].astype(np.int64)
 
 
 def choose(cuts: np.ndarray, penalty: np.ndarray, size: int) -> np.ndarray:
-    """The ends of the windows of least padding plus penalty."""
-    pos = [0, *cuts.tolist()]
-    cost = [0, *penalty.tolist()]
-    best = [0] * len(pos)  # best[i] + pos[i]
-    back = [0] * len(pos)
+    """The ends of the windows of least padding plus penalty.
+
+    All cuts that one start is best for cost the same but for their penalties, so of them only the
+    last of each penalty can be the best start of a later window.
+    """
+    pos = np.concatenate([[0], cuts])
+    reach = (np.searchsorted(pos, pos + size, "right") - 1).tolist()  # the last cut a window can end at
+    kinds = np.unique(penalty).tolist()
+    last = [np.maximum.accumulate(np.concatenate([[0], np.where(penalty == k, np.arange(1, len(pos)), 0)])).tolist() for k in kinds]
+    best = {0: 0}  # best[i] + pos[i]
+    back: dict[int, int] = {}
     queue: deque[int] = deque([0])
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while pos[queue[0]] < p - size:
-            queue.popleft()
-        i = queue[0]
-        back[j] = i
-        best[j] = value = best[i] + size + cost[j]
-        while queue and best[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
+    done = 0
+    while done < len(pos) - 1:
+        i = queue.popleft()
+        end = reach[i]
+        if end <= done:
+            continue
+        least = done
+        for k, at in zip(kinds, last):
+            j = at[end]
+            if j > least:
+                best[j] = value = best[i] + size + k
+                back[j] = i
+                while queue and best[queue[-1]] >= value:
+                    queue.pop()
+                queue.append(j)
+                least = j
+        done = end
     out, j = [], len(pos) - 1
     while j:
-        out.append(pos[j])
+        out.append(j)
         j = back[j]
-    return np.array(out[::-1], np.int64)
+    return pos[out[::-1]].astype(np.int64)
 
 
 def pieces(doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:

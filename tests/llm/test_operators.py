@@ -231,6 +231,34 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_every_sentence_end_is_a_cut():
+    ids = np.zeros(400, np.int64)
+    stops = [*range(5, 200, 5), 300]
+    ids[[x - 1 for x in stops]] = 1
+    cuts, penalty = packing.cut_points(ids, np.array([200, 201, 400]), np.array([False, True]))
+    got = dict(zip(cuts.tolist(), penalty.tolist()))
+    assert {x for x, k in got.items() if k == packing.AT_SENTENCE} == set(stops)
+    assert {x for x, k in got.items() if k == 0} == {200, 201, 400}
+    assert {x for x, k in got.items() if k == packing.IN_SENTENCE} == {*range(225, 300, 24), *range(324, 400, 24)}
+    assert cuts.tolist() == sorted(got) and len(got) == len(cuts)
+    # The window can end at the second of two sentences' ends that are close together.
+    ids = np.zeros(60, np.int64)
+    ids[[33, 39]] = 1
+    assert packing.choose(*packing.cut_points(ids, np.array([60]), np.array([False, True])), 40).tolist() == [40, 60]
+
+
+def test_choose_equals_queue_of_all_cuts():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        pos, pen = [0, *np.cumsum(rng.integers(1, 24, 400)).tolist()], [0, *rng.choice([0, 2, 2, 2, 12], 400).tolist()]
+        best = [0] * len(pos)
+        for j in range(1, len(pos)):
+            best[j] = pen[j] + min(best[i] + 100 - pos[j] + pos[i] for i in range(j) if pos[j] - pos[i] <= 100)
+        ends = packing.choose(np.array(pos[1:]), np.array(pen[1:]), 100).tolist()
+        assert ends[-1] == pos[-1] and all(b - a <= 100 for a, b in zip([0, *ends], ends))
+        assert best[-1] == sum(100 - b + a + pen[pos.index(b)] for a, b in zip([0, *ends], ends))
+
+
 def test_choose_is_optimal():
     rng = np.random.default_rng(4)
     for _ in range(30):
