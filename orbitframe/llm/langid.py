@@ -8,7 +8,9 @@ The posterior of a row's language is the product of
  - a prior for its host, smoothed towards its address suffix, and that towards all rows.
 Tables and priors are sums of the texts' own posteriors by grouped aggregation over all rows; a
 row's own share is taken out of its host's sum. ``und`` is one more hypothesis, under which all
-trigrams are equally likely: text of no known language. A row is rejected if ``und`` is likeliest.
+trigrams are equally likely: text of no known language. A trigram that a language has not been seen
+with has the same probability in all languages, however much text each has, and ``und`` is set
+relative to it. A row is rejected if ``und`` is likeliest.
 
 Defined cases: null, empty and letterless texts carry no text evidence, so the rest decides; a null
 or unknown declaration, host or suffix is a value of its own; rows may repeat (a row each); an empty
@@ -38,8 +40,9 @@ class Settings:
     per_language: int = 300
     most_languages: int = 200
     evidence: float = 40.0
-    unseen: float = 1.0
-    unknown: float = -12.0
+    #: Log-probability of a trigram unseen in a language, the same for all, and what ``und`` has above it.
+    unseen: float = -13.0
+    unknown: float = 2.5
     host_weight: float = 5.0
     suffix_weight: float = 50.0
 
@@ -86,9 +89,8 @@ def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: st
     seen = np.zeros((len(grams) + 1, len(languages)))
     for r in found:
         seen[at[r.gram], column[r.lang]] = r.n
-    size = max(len(grams) + 1, 1 << 13)
-    table = np.log((seen + s.unseen) / (seen.sum(0) + s.unseen * size))
-    table = np.hstack([table, np.full((len(table), 1), s.unknown)])
+    table = np.log(0.95 * seen / np.maximum(seen.sum(0), 1) + math.exp(s.unseen))
+    table = np.hstack([table, np.full((len(table), 1), s.unseen + s.unknown)])
     return TextModel([*languages, OTHER], at, table, s)
 
 

@@ -212,6 +212,23 @@ def test_language(spark, odd, empty):
     assert langid.keep_known(empty).count() == 0 and langid.keep_known(odd).columns == odd.columns
 
 
+GIBBERISH = ["".join(random.Random(11).choices("abcdefghijklmnopqrstuvwxyz" + " " * 5, k=600)), "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 3, "Все люди рождаются свободными и равными в своем достоинстве и правах " * 3]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_unknown_languages_are_rejected_at_all_sizes(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = "Suomen kieli on itämerensuomalainen kieli jota puhutaan pääosin Suomessa ja Ruotsissa"
+    model = langid.fit(docs.union(spark.createDataFrame([(10**7 + i, f"{rare} {i}", "fi", "s") for i in range(3)], docs.schema)))
+    assert "fi" in model.languages and len(set(model.table[0, :-1].tolist())) == 1
+    scorer = langid.Scorer(model)
+    best = lambda x: model.languages[int(np.argmax(scorer(x)))]
+    assert [best(x) for x in GIBBERISH] == [langid.OTHER] * 3
+    assert best(rare) == "fi"
+    own = docs.filter("lang = 'es' and length(text) > 200").orderBy("doc_id").limit(20).collect()
+    assert sum(best(r.text) == "es" for r in own) >= 0.9 * len(own) > 0
+
+
 def test_packing(spark, odd, empty):
     path = P.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
