@@ -193,11 +193,15 @@ def identify_pages(pages: DataFrame, docs: DataFrame, s: Settings = Settings())
 def keep_known(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents (doc_id, text, lang, source, ...) whose language is a known one, all columns.
 
-    The column ``lang`` is the declaration, ``source`` the host; there is no address.
+    The column ``lang`` is the declaration, ``source`` the host; there is no address. Each row is
+    decided for itself, also where doc_id is null or repeated.
     """
     model = fit(docs, s)
-    rows = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
+    # Rows of one digest agree in all that decides, so the verdict of one is that of the others.
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(x).cast("string") for x in ("doc_id", "lang", "source", "text"))]
+    digest = F.sha1(F.concat(*parts))
+    rows = docs.select(digest.alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
     found, _ = scratch.written(likelihoods(rows, model), "likelihoods")
     decided, _ = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
     gone = decided.filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, digest == F.col("_gone"), "left_anti")

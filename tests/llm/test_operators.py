@@ -229,6 +229,15 @@ def test_unknown_languages_are_rejected_at_all_sizes(spark, sf):
     assert sum(best(r.text) == "es" for r in own) >= 0.9 * len(own) > 0
 
 
+def test_rows_are_kept_each_for_itself(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").filter("length(text) > 200").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+    junk = spark.createDataFrame([(k, x, None, "s") for k in (None, 1, 50) for x in GIBBERISH], docs.schema)
+    # One row's text is rejected; rows that share its doc_id stay.
+    kept = collections.Counter(map(tuple, langid.keep_known(docs.union(junk)).collect()))
+    assert kept == collections.Counter(map(tuple, langid.keep_known(docs).collect()))
+    assert kept.total() >= 0.98 * docs.count()
+
+
 def test_packing(spark, odd, empty):
     path = P.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
