@@ -13,6 +13,8 @@ from ..operators import chunks as C, layout as L
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: The whole job of queries whose SQL folds or cuts their input; too many rows for SQL and for collecting.
+WHOLE: dict = {}
 
 #: The disc view in SQL.
 T = """t AS (SELECT o_custkey AS disc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos,
@@ -162,6 +164,23 @@ def self_width(spark, sf):
     return C.self_width(_letters(spark, sf), "doc_id")
 
 
+def _whole_letters(spark, sf):
+    # One pass over a text; a piece by position would be quadratic in its length.
+    letters = F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))
+    hunks = read(spark, sf, "documents").select("doc_id", F.posexplode(letters).alias("hunk", "data")).withColumn("hunk", F.col("hunk").cast("long"))
+    return C.promote(C.dedup(hunks, "doc_id"), "doc_id")
+
+
+def promote_self_whole(spark, sf):
+    """A disc here is a document, cut to letters over its whole length."""
+    return _whole_letters(spark, sf).select("doc_id", "hunk", "self_hunk", "symbol")
+
+
+def self_width_whole(spark, sf):
+    """A9, over whole texts."""
+    return C.self_width(_whole_letters(spark, sf), "doc_id")
+
+
 @query("SELECT doc_id, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
 def track_sha1(spark, sf):
     """A4, A5."""
@@ -359,8 +378,11 @@ def report_json(spark, sf):
     return t.groupBy("disc").agg(F.to_json(F.struct(F.lit("cue").alias("format"), F.bool_or("gdrom").alias("gdrom"), F.array_sort(F.collect_list(track)).alias("tracks"))).alias("json"))
 
 
+WHOLE |= {f.__name__: f for f in (promote_self_whole, self_width_whole)}
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | WHOLE
 
 
 def oracle_sql() -> dict[str, str]:
