@@ -125,6 +125,11 @@ def hunk_slots(spark, sf):
     return L.hunk_slots(plain(spark, sf).withColumn("frames", F.lit(0) + (F.col("frames") - 1) % 64 + 1))
 
 
+def hunk_slots_whole(spark, sf):
+    """L11 over the tracks of the disc view as they are."""
+    return L.hunk_slots(plain(spark, sf))
+
+
 CUT = "h AS (SELECT doc_id, k AS hunk, substr(text, CAST(k * 64 + 1 AS BIGINT), 64) AS data FROM (SELECT doc_id, text, unnest(range((length(text) + 63) // 64)) AS k FROM documents))"
 
 
@@ -378,7 +383,7 @@ def report_json(spark, sf):
     return t.groupBy("disc").agg(F.to_json(F.struct(F.lit("cue").alias("format"), F.bool_or("gdrom").alias("gdrom"), F.array_sort(F.collect_list(track)).alias("tracks"))).alias("json"))
 
 
-WHOLE |= {f.__name__: f for f in (promote_self_whole, self_width_whole)}
+WHOLE |= {f.__name__: f for f in (hunk_slots_whole, promote_self_whole, self_width_whole)}
 
 
 def queries() -> dict:

@@ -1,6 +1,7 @@
 """Queries over whole inputs against brute force on small fixtures."""
 
 import collections
+import decimal
 
 from orbitframe.plans import suite
 
@@ -24,3 +25,16 @@ def test_references_of_whole_texts(spark, tmp_path):
     widths = {d: max((t for _, t, s in rows if s == "SELF"), default=0).bit_length() for d, rows in want.items() if rows}
     got = {r.doc_id: r.width for r in suite.queries()["self_width_whole"](spark, str(tmp_path)).collect()}
     assert got == widths and widths[2] == 9  # target 290, past the first 64 characters
+
+
+def test_slots_of_whole_tracks(spark, tmp_path):
+    rows = [(7, k, decimal.Decimal(price), "F") for k, price in ((3, "999.50"), (5, "62.00"), (9, "3000.10"))] + [(8, 1, decimal.Decimal("40001.00"), "O")]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice decimal(15,2), o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = collections.Counter()
+    for disc, lengths in ((7, (1000, 63, 3001)), (8, (2,))):
+        at = 0
+        for pos, n in enumerate(lengths, 1):
+            total = -(-n // 4) * 4
+            want.update((disc, pos, f, (at + f) // 8, (at + f) % 8, f >= n) for f in range(total))
+            at += total
+    assert collections.Counter(map(tuple, suite.queries()["hunk_slots_whole"](spark, str(tmp_path)).collect())) == want
