@@ -203,5 +203,6 @@ def keep_known(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = docs.select(digest.alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
     found, _ = scratch.written(likelihoods(rows, model), "likelihoods")
     decided, _ = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
-    gone = decided.filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct()
+    # Written, so that a join with few of them is planned as one: the documents are not shuffled.
+    gone, _ = scratch.written(decided.filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct(), "gone")
     return docs.join(gone, digest == F.col("_gone"), "left_anti")
