@@ -1,4 +1,4 @@
-"""Connected components of links, by rounds of least labels with pointer jumping."""
+"""Connected components of links, by contraction of least-neighbour forests."""
 
 from __future__ import annotations
 
@@ -8,26 +8,45 @@ from . import scratch
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, comp (the least node reachable) for every node that has a link.
+    """node, comp (a node of the component, the same for all of it) for every node that has a link.
 
-    A round gives each node the least label among its neighbours and then the label of that label,
-    so long chains shorten by half each round. Labels are written between rounds; nothing is
-    gathered on the driver but the number of changes. Sums by node are pre-aggregated, so a node
-    that holds a third of all links is no burden.
+    Each node points to its least neighbour, or to itself if that is less. These pointers are a
+    forest; doubling them takes as many steps as the logarithm of its depth and touches nodes alone,
+    never links. Then each link moves to the roots of its ends, and links within a tree are gone.
+    A tree has two nodes at least, so the nodes that still have links halve with each pass: a star
+    of any size is done after one. Least neighbours are pre-aggregated, tables are written between
+    jobs, and nothing is gathered on the driver but whether links or changes are left.
     """
     spark = links.sparkSession
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    both, at_links = scratch.written(both.union(both.select("v", "u")), "links")
-    labels, at = scratch.written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u").agg(F.min("m").alias("m"))
-        step = labels.join(seen, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("u").alias("l"), F.col("l").alias("to"))
-        step = step.join(jump, "l", "left").select("u", "old", F.least("l", "to").alias("l"))
-        new, new_at = scratch.written(step, "labels")
-        changed = new.filter("old <> l").limit(1).count()
-        scratch.drop(spark, at)
-        labels, at = new.select("u", "l"), new_at
-        if not changed:
-            scratch.drop(spark, at_links)
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("comp"))
+    ends = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v")
+    edges, edges_at = scratch.written(ends.distinct(), "links")
+    passes: list[tuple[DataFrame, str]] = []
+    while edges.limit(1).count():
+        both = edges.union(edges.select("v", "u"))
+        roots, at = scratch.written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")), "roots")
+        while True:
+            up = roots.select(F.col("u").alias("root"), F.col("root").alias("top")).filter("root <> top")
+            step = roots.join(up, "root", "left").select("u", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved"))
+            new, new_at = scratch.written(step, "roots")
+            scratch.drop(spark, at)
+            roots, at = new.select("u", "root"), new_at
+            if not new.filter("moved").limit(1).count():
+                break
+        low = roots.select("u", F.col("root").alias("ru"))
+        high = roots.select(F.col("u").alias("v"), F.col("root").alias("rv"))
+        rest = edges.join(low, "u").join(high, "v").filter("ru <> rv")
+        left, left_at = scratch.written(rest.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
+        scratch.drop(spark, edges_at)
+        edges, edges_at = left, left_at
+        passes.append((roots, at))
+    scratch.drop(spark, edges_at)
+    if not passes:
+        return links.select(F.col(a).alias("node"), F.col(a).alias("comp")).filter(F.lit(False))
+    named = passes[-1][0]
+    for roots, _ in passes[-2::-1]:
+        after = named.select(F.col("u").alias("root"), F.col("root").alias("last"))
+        named = roots.join(after, "root", "left").select("u", F.coalesce("last", "root").alias("root"))
+    if len(passes) > 1:
+        named, _ = scratch.written(named, "components")
+        scratch.drop(spark, *(at for _, at in passes))
+    return named.select(F.col("u").alias("node"), F.col("root").alias("comp"))

@@ -12,13 +12,14 @@ scanned by heavy ones, both summed over all documents by size.
 How often a shingle occurs is counted exactly: each task packs its shingles by range of hash, lists
 meet by range, and what occurs in one set only is dropped there: it can be in no overlap. What is
 left of a set is all that verifying needs. Equal sets are one class from the start (copies within a
-task before any shuffle). Pairs of a list are not enumerated: each set is first checked against its
-list's leader. Sets that stay apart after that meet by pairs, which places in the order rule out
-before any set is fetched, and in long lists block by block within a task. So a group of m copies
-that link costs about m checks, and no link between components is lost.
+task before any shuffle). Pairs of a list are not enumerated: in a few turns each set is checked
+against one leader of its lists, links are contracted, and lists of one component go. Sets that stay
+apart after that meet by pairs, which places in the order rule out before any set is fetched, and in
+long lists block by block within a task. So a group of m copies that link costs about m checks and m
+links, and no link between components is lost.
 
-A shingle is a 64-bit hash; lists and overlaps use its upper 32 + log2(ranges) bits. A range keeps
-its lists packed, about three bytes for each set that holds a shingle.
+A shingle is a 64-bit hash; lists and overlaps use its upper 40 + log2(ranges) bits. A range keeps
+its lists packed, about four bytes for each set that holds a shingle.
 
 Defined cases: null and empty texts have the empty set and link with nothing; repeated rows are one
 class; doc_id may be null (the least id of a component ignores nulls); an empty table gives no
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import graph, scratch
 
@@ -43,10 +44,14 @@ WORDS = 5
 PERCENT = 75
 #: Shingles and documents that a task packs at a time; shingles of a range, about.
 CHUNK, CHUNK_DOCS, RANGE = 2_000_000, 60_000, 500_000
+#: Bits of a hash beyond its range's; ranges are at most 2 ** MOST_BITS.
+BITS, MOST_BITS = 40, 24
 #: Largest set size tried as boundary.
 MOST_LIGHT = 48
 #: Lists up to this length are joined by pairs, longer ones in blocks of this many members.
 BLOCK = 512
+#: Turns in which each set that stands apart is checked against one leader; members that a leader's copy serves.
+TURNS, SALTED = 3, 1024
 #: Lists that stand apart are broadcast up to this number (16 bytes each), and joined by shuffle beyond.
 BROADCAST = 500_000
 
@@ -148,14 +153,14 @@ def _pack_lists(bits: int):
             docs = np.repeat(np.array(own, np.uint16), lengths[own])
             order = np.argsort(tokens, kind="stable")
             tokens, docs = tokens[order], docs[order]
-            short = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            short = (tokens >> np.uint64(64 - BITS - bits)) & np.uint64((1 << BITS) - 1)
             ranges = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
             cuts = np.searchsorted(ranges, np.arange((1 << bits) + 1))
             rows = []
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[r], cuts[r + 1]
                 part = short[a:b]
-                rows.append((r, src, int(b - a), _packed(np.diff(part, prepend=part[:1]), part[:1].repeat(b - a), docs[a:b].astype("<u2"))))
+                rows.append((r, src, int(b - a), _packed(np.diff(part, prepend=np.uint64(0)).astype("<u8"), docs[a:b].astype("<u2"))))
             flags = np.zeros(len(ids), np.uint8)
             flags[own] = 1
             known = np.array([x if x is not None else 0 for x in ids], "<i8")
@@ -201,8 +206,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int | tuple[int, ...]) -> It
 
 
 def _list(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    step, low, docs = _unpacked(blob, n, "<u4", "<u4", "<u2")
-    return low + np.cumsum(step, dtype=np.uint32), docs
+    step, docs = _unpacked(blob, n, "<u8", "<u2")
+    return np.cumsum(step, dtype=np.uint64), docs
 
 
 def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +217,7 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows:
                 yield _rows([row])
             continue
-        tokens, counts, waiting, pending = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+        tokens, counts, waiting, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def merge():
             nonlocal tokens, counts, waiting, pending
@@ -237,7 +242,7 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
             keep = np.flatnonzero(tokens[at] == token)
             if len(keep):
-                yield _rows([(r, src, len(keep), _packed(token[keep], docs[keep], np.minimum(counts[at[keep]], 0xFFFF).astype("<u2")))])
+                yield _rows([(r, src, len(keep), _packed(np.diff(token[keep], prepend=np.uint64(0)).astype("<u8"), docs[keep], np.minimum(counts[at[keep]], 0xFFFF).astype("<u2")))])
 
 
 SETS = "doc_id long, text_hash long, n int, cls long, own boolean, cost_light long, cost_heavy long, prefix binary, shared binary, n_shared int"
@@ -250,8 +255,8 @@ def _collect_sets(bits: int):
         for src, rows in _groups(batches, 1):
             own = next(r for r in rows if r[0] < 0)
             ids, null, size, cls, flags, texts = _unpacked(own[3], own[2], "<i8", "u1", "<i4", "<i8", "u1", "<i8")
-            lists = [(r, *_unpacked(blob, n, "<u4", "<u2", "<u2")) for r, _, n, blob in rows if r >= 0]
-            token = np.concatenate([np.zeros(0, np.uint64), *(t.astype(np.uint64) | np.uint64(r << 32) for r, t, _, _ in lists)])
+            lists = [(r, *_unpacked(blob, n, "<u8", "<u2", "<u2")) for r, _, n, blob in rows if r >= 0]
+            token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t, dtype=np.uint64) | np.uint64(r << BITS) for r, t, _, _ in lists)])
             doc = np.concatenate([np.zeros(0, np.uint16), *(d for _, _, d, _ in lists)])
             count = np.concatenate([np.zeros(0, np.uint16), *(c for *_, c in lists)])
             order = np.lexsort((token, count, doc))
@@ -293,13 +298,13 @@ def boundary(by_size: dict[int, tuple[int, int]], rest: int) -> int:
 def _keys(x: int):
     """Sets -> a row for each key: subsets of two of a light set, single elements of a heavy one.
 
-    at: the key's number; pos: its last element's place in the set's order, less k - 1. Two sets
+    pos: its last element's place in the set's order, less k - 1. Two sets
     whose overlap must be o share a key with pos <= n - o on both sides.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, at, pos = [], [], [], [], []
+            nodes, sizes, keys, pos = [], [], [], []
             for node, n, m, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 token = np.frombuffer(raw, "<u8")
                 place = np.arange(len(token)) + n - m  # elements of no other set come first
@@ -315,11 +320,10 @@ def _keys(x: int):
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 keys.append(flat.view(np.int64))
                 pos += where
-                at.append(np.arange(len(flat)))
                 nodes.append(np.full(len(flat), node))
                 sizes.append(np.full(len(flat), n, np.int32))
             join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(nodes, np.int64)), pa.array(join(sizes, np.int32)), pa.array(join(at, np.int32)), pa.array(join(pos, np.int32))], ["key", "node", "n", "at", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(nodes, np.int64)), pa.array(join(sizes, np.int32)), pa.array(join(pos, np.int32))], ["key", "node", "n", "pos"])
 
     return work
 
@@ -347,8 +351,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (to, node), those that link, as (a, b)."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
+    """Of pairs (to, node), those that link, as (a, b).
+
+    A leader's set is sent once for each SALTED members, so that no leader is one task's.
+    """
+    many = pairs.groupBy("to").agg(F.count("*").alias("members")).filter(F.col("members") > SALTED)
+    salts = F.ceil(F.col("members") / F.lit(float(SALTED))).cast("int")
+    pairs = pairs.join(many, "to", "left").select("to", "node", F.coalesce(F.pmod(F.xxhash64("node"), salts), F.lit(0)).cast("int").alias("salt"))
     body = sets.select("node", "n", "n_shared", "shared")
     members = pairs.join(body, "node").select("to", "salt", F.lit(True).alias("member"), "node", "n", "n_shared", "shared")
     leaders = pairs.select("to", "salt").distinct().join(body.withColumnRenamed("node", "to"), "to").select("to", "salt", F.lit(False).alias("member"), F.col("to").alias("node"), "n", "n_shared", "shared")
@@ -393,51 +402,97 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
-    found = comps.select(F.col("node").alias(node), F.col("comp").alias(f"_{name}"))
-    return rows.join(found, node, "left").withColumn(name, F.coalesce(f"_{name}", node)).drop(f"_{name}")
+def _overlap(p, q):
+    """Least overlap of two linked sets of p and q."""
+    return F.ceil(PERCENT * (p + q) / F.lit(100.0 + PERCENT) - 1e-9)
+
+
+def _fits(n, pos, to_n, to_pos):
+    """Whether sizes and places in the order allow a link."""
+    o = _overlap(n, to_n)
+    return (F.least(n, to_n) * 100 >= F.greatest(n, to_n) * PERCENT) & (pos <= n - o) & (to_pos <= to_n - o)
+
+
+def _to_leaders(lists: DataFrame, turn: int) -> DataFrame:
+    """(to, node): of each set that stands apart from a leader of its lists, one such leader.
+
+    A list's leader is its set of least hash; the hash differs from turn to turn.
+    """
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("pos").alias("to_pos"), F.col("comp").alias("to_comp"))
+    leaders = lists.groupBy("key").agg(F.min(order).alias("leader"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key", "leader.*")
+    near = lists.join(leaders, "key").filter((F.col("comp") != F.col("to_comp")) & _fits(F.col("n"), F.col("pos"), F.col("to_n"), F.col("to_pos")))
+    return near.groupBy("node").agg(F.min(F.struct("h", "to")).alias("l")).select(F.col("l.to").alias("to"), "node")
+
+
+def _standing_apart(lists: DataFrame) -> DataFrame:
+    """Rows of lists of several components that can still link with one there, and the list's length m.
+
+    Places beyond what the list's smallest set needs are left out.
+    """
+    mixed, _ = scratch.written(lists.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.count("*").alias("m")).filter("c1 <> c2").select("key", "low", "m"), "mixed")
+    if mixed.count() <= BROADCAST:
+        mixed = F.broadcast(mixed)
+    smallest = F.greatest("low", F.ceil(F.col("n") * (PERCENT / 100) - 1e-9))
+    return lists.drop("m").join(mixed, "key").filter(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).select("key", "node", "n", "pos", "comp", "m")
+
+
+def _moved(rows: DataFrame, top: DataFrame, name: str = "comp") -> DataFrame:
+    """Rows whose column ``name``, a component, is replaced by what ``top`` says of it."""
+    at = top.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    return rows.join(at, F.col(name) == F.col("was"), "left").withColumn(name, F.coalesce("now", name)).drop("was", "now")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, node (its class of equal sets), comp (its component) of every row."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    bits = max(4, min(20, (max(1, size // 6 // RANGE)).bit_length()))
+    bits = max(4, min(MOST_BITS, (max(1, size // 6 // RANGE)).bit_length()))
     lists = docs.select(docs[key].cast("long"), docs[text], F.xxhash64(docs[text])).mapInArrow(_pack_lists(bits), ROW)
     spread = F.when(F.col("range") < 0, F.col("src")).otherwise(F.col("range"))
     counted = lists.repartition(spread).sortWithinPartitions("range", "src").mapInArrow(_count_lists, ROW)
-    rows, rows_at = scratch.written(counted.repartition("src").sortWithinPartitions("src", "range").mapInArrow(_collect_sets(bits), SETS), "rows")
     # Equal sets: one class; node is its hash, ties with the size.
-    node = F.xxhash64("cls", "n")
-    rows = rows.withColumn("node", node)
+    rows, rows_at = scratch.written(counted.repartition("src").sortWithinPartitions("src", "range").mapInArrow(_collect_sets(bits), SETS).withColumn("node", F.xxhash64("cls", "n")), "rows")
     held = rows.filter("prefix is not null and own")
     sets, _ = scratch.written(held.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "cost_light", "cost_heavy", "prefix", "shared", "n_shared"))), "sets")
+    named, _ = scratch.written(rows.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "node"), "named")
+    scratch.drop(spark, rows_at)
     costs = sets.groupBy(F.least("n", F.lit(4 * MOST_LIGHT)).alias("n")).agg(F.sum("cost_light").alias("a"), F.sum("cost_heavy").alias("b")).collect()  # a row for each size up to the last
     by_size = {r.n: (r.a, r.b) for r in costs if r.n < 4 * MOST_LIGHT}
     x = boundary(by_size, sum(r.b for r in costs if r.n >= 4 * MOST_LIGHT))
-    keyed = sets.select("node", "n", "n_shared", "prefix").mapInArrow(_keys(x), "key long, node long, n int, at int, pos int")
-    keys, keys_at = scratch.written(keyed, "keys")
-    leaders = keys.select("key", "node").groupBy("key").agg(F.min("node").alias("to"), F.max("node").alias("other")).filter("to <> other").select("key", "to")
-    first = keys.filter("at < 2").select("key", "node").join(leaders, "key").filter("node <> to").select("to", "node").distinct()
-    first, first_at = scratch.written(first, "pairs")
-    links = _checked(first, sets)
-    comps = graph.components(links)
-    # Lists whose sets still stand apart; places beyond what the list's smallest set needs are left out.
-    placed = _with_comp(keys.select("key", "node", "n", "pos"), comps, "node", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.count("*").alias("m")).filter("c1 <> c2").select("key", "low", "m")
-    mixed, mixed_at = scratch.written(mixed, "mixed")
-    if mixed.count() <= BROADCAST:
-        mixed = F.broadcast(mixed)
-    overlap = lambda p, q: F.ceil(PERCENT * (p + q) / F.lit(100.0 + PERCENT) - 1e-9)
-    smallest = F.greatest("low", F.ceil(F.col("n") * (PERCENT / 100) - 1e-9))
-    apart = placed.join(mixed, "key").filter(F.col("pos") <= F.col("n") - overlap(F.col("n"), smallest))
-    apart, apart_at = scratch.written(apart.select("key", "node", "n", "pos", "comp", "m"), "apart")
+    apart, apart_at = scratch.written(sets.select("node", "n", "n_shared", "prefix").mapInArrow(_keys(x), "key long, node long, n int, pos int").withColumn("comp", F.col("node")), "keys")
+    comps, comps_at = scratch.written(sets.select("node", F.col("node").alias("comp")), "components")
+    tried = None
+
+    def merge(links: DataFrame) -> None:
+        """Components after links (a, b): contracted to links between components, which are fewer."""
+        nonlocal comps, comps_at
+        ends = _moved(_moved(links, comps, "a"), comps, "b")
+        new, new_at = scratch.written(_moved(comps, graph.components(ends)), "components")
+        scratch.drop(spark, comps_at)
+        comps, comps_at = new, new_at
+
+    # Each turn gives a set one leader to be checked against, and goes on with the lists that stay mixed.
+    for turn in range(TURNS):
+        pairs, pairs_at = scratch.written(_to_leaders(apart, turn), "pairs")
+        links, links_at = scratch.written(_checked(pairs, sets), "links")
+        some = links.limit(1).count()
+        if some:
+            merge(links)
+        scratch.drop(spark, links_at)
+        tried = pairs if tried is None else tried.union(pairs)
+        # The rows' components are looked up anew, by node.
+        now = apart.drop("comp").join(comps, "node")
+        left, left_at = scratch.written(_standing_apart(now), "apart")
+        scratch.drop(spark, apart_at)
+        apart, apart_at = left, left_at
+        if not some:
+            break
+    # What still stands apart meets by pairs.
     one = apart.filter(F.col("m") <= BLOCK)
     two = one.select("key", *(F.col(c).alias(f"to_{c}") for c in ("n", "pos", "comp")), F.col("node").alias("to"))
-    o = overlap(F.col("n"), F.col("to_n"))
-    fits = (F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * PERCENT) & (F.col("pos") <= F.col("n") - o) & (F.col("to_pos") <= F.col("to_n") - o)
+    fits = _fits(F.col("n"), F.col("pos"), F.col("to_n"), F.col("to_pos"))
     rest = one.join(two, (one["key"] == two["key"]) & (F.col("to") < F.col("node")) & (F.col("comp") != F.col("to_comp")) & fits)
-    rest = rest.select("to", "node").distinct().join(first, ["to", "node"], "left_anti")
+    rest = rest.select("to", "node").distinct().join(tried.select(F.least("to", "node").alias("to"), F.greatest("to", "node").alias("node")), ["to", "node"], "left_anti")
     rest, rest_at = scratch.written(rest, "pairs")
     # Long lists: blocks against blocks, so that a member is sent once for each block and not for each partner.
     blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
@@ -447,14 +502,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     more = _checked(rest, sets).union(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_verify_blocks, "a long, b long"))
     more, more_at = scratch.written(more, "links")
     if more.limit(1).count():
-        # Links between components: contracted, they are few.
-        bridges = _with_comp(_with_comp(more, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        top = graph.components(bridges)
-        ends = comps.select("node").union(more.select("a")).union(more.select("b")).distinct()
-        comps = _with_comp(_with_comp(ends, comps, "node", "low"), top, "low", "comp").select("node", "comp")
-        comps, _ = scratch.written(comps, "components")
-    scratch.drop(spark, keys_at, first_at, mixed_at, apart_at, rest_at, more_at)
-    return _with_comp(rows.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "node"), comps, "node", "comp")
+        merge(more)
+    scratch.drop(spark, apart_at, rest_at, more_at)
+    return named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,17 +516,27 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row of least id (null ids last), all columns; of repeated rows one."""
-    found = classes(docs, key, text)
+    """Of each component the row of least id (null ids last), all columns; of repeated rows one.
+
+    Rows without words link with nothing, so all of them stay. Columns of the input get names of
+    their own here, so that none clashes with the helpers'.
+    """
+    own = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)))
+    key, text = (f"in_{docs.columns.index(c)}" for c in (key, text))
+    found = classes(own, key, text)
     some = found.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    stays = some.groupBy("comp").agg(F.min(order).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.hash").alias("_hash"))
-    stays = stays.union(found.filter("n_shingles = 0").select("doc_id", "text_hash")).distinct()
-    kept = docs.join(stays, docs[key].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_semi")
-    if some.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
-        # Only rows whose id and text both recur are numbered.
-        twice = some.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
-        again = kept.join(twice, same, "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(key)))
-        kept = kept.join(twice, same, "left_anti").union(again.filter("_at = 1").drop("_at"))
-    return kept
+    stays = some.groupBy("comp").agg(F.min(order).alias("s"), F.count("*").alias("m")).select("s.id", "s.hash", F.lit(True).alias("worded"))
+    stays = stays.union(found.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(False)).distinct())
+    # Written, so that a join with few of them is planned as one.
+    stays, _ = scratch.written(stays, "stays")
+    rows = own.withColumn("at_hash", F.xxhash64(text)).join(stays, F.col(key).cast("long").eqNullSafe(F.col("id")) & (F.col("at_hash") == F.col("hash")))
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    # Rows whose id and text both recur are rare: only these are grouped.
+    twice = some.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"))
+    twice, _ = scratch.written(twice, "twice")
+    if twice.limit(1).count():
+        same = F.col("worded") & F.col("id").eqNullSafe(F.col("t_id")) & (F.col("hash") == F.col("t_hash"))
+        again = rows.join(twice, same, "left_semi").groupBy("id", "hash").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+        rows = rows.join(twice, same, "left_anti").select(*names).union(again)
+    return rows.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))
