@@ -5,19 +5,24 @@ weight. The points of a label are dealt to cells around centres (k-means of a bo
 point is at home in the cell of its nearest centre and a guest in up to ``guests`` others that are
 nearly as close. Then
  1. each cell builds a graph of its points: candidates by similarity, robustly pruned, with
-    reverse edges (build on overlapping cluster shards);
+    reverse edges and a few far ones, so that no group is an island (build on overlapping shards);
  2. a point's lists from its cells are united;
- 3. each point searches its home cell's graph, greedily from the cell's medoid and from itself,
-    with a beam that widens over everything within the range until nothing new is within it;
- 4. pairs found are verified by the cosine in double precision.
-A pair counts for a point in its home cell only, so nothing counts twice and no pair leaves the
-task: a cell gives each point's number of links and a star of edges to its local component.
-Components across cells are found by rounds of least labels. Recall is audited against brute force
-for a bounded set of points; below ``least_recall`` the job runs again with twice the guests, and
-fails rather than returns if that is not enough.
+ 3. each point is searched in every cell that it is in, greedily from the cell's medoids over the
+    united lists, with a beam that widens over everything within the range until nothing new is in it;
+ 4. pairs found are verified by the cosine in double precision, and hold for both ends.
+Two points that share cells are counted in the first of them, in either's own order, so nothing
+counts twice and no pair leaves a task: a cell gives each point's number of links and a star of edges
+to its local component. Components across cells are found by contraction. Points that no centre
+parts (a large group of near copies) make a cell larger than ``most_points``: such a cell is compared
+exactly, block against block, each pair of blocks in a task of its own.
+
+Recall is audited against brute force: for a bounded number of points, drawn by hash whatever was
+found, the share of a point's links that was found, averaged over the points that have any. Below
+``least_recall`` the job runs again with twice the guests and beam, and fails rather than returns if
+that is not enough.
 
 Bounds: at most about ``most_cells`` centres and 8 sampled points a centre are broadcast; a cell
-has about max(cell, points / most_cells) points and is one task's.
+has about max(cell, points / most_cells) points.
 
 Defined cases: null labels; vectors that are null, empty, zero or hold null or non-finite numbers
 link with nothing and are their own component; rows that share a vec_id stay apart as points but
@@ -40,15 +45,18 @@ from . import graph, scratch
 class Settings:
     least: float = 0.98
     cell: int = 1000
+    most_points: int = 4000
     most_cells: int = 8192
     guests: int = 3
     margin: float = 0.12
     candidates: int = 48
     degree: int = 24
+    far: int = 4
+    medoids: int = 4
     alpha: float = 1.2
     beam: int = 24
     slack: float = 0.03
-    audited: int = 400
+    audited: int = 1000
     least_recall: float = 0.95
 
 
@@ -75,7 +83,7 @@ def robust_prune(points: np.ndarray, near: np.ndarray, s: Settings) -> np.ndarra
 
 
 def build_graph(points: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Adjacency lists of one cell: pruned candidates and reverse edges."""
+    """Adjacency lists of one cell: pruned candidates, a few far points, and the reverse of both."""
     m = len(points)
     if m == 1:
         return [np.zeros(0, np.int32)]
@@ -86,22 +94,31 @@ def build_graph(points: np.ndarray, s: Settings) -> list[np.ndarray]:
         sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -np.inf
         part = np.argpartition(-sim, c - 1, axis=1)[:, :c]
         near[at : at + 512] = np.take_along_axis(part, np.argsort(-np.take_along_axis(sim, part, 1), axis=1, kind="stable"), 1)
-    out = robust_prune(points, near, s)
-    src, dst = np.repeat(np.arange(m), s.degree), out.ravel()
+    far = np.random.default_rng(m).integers(0, m, (m, s.far), np.int32)
+    out = np.hstack([robust_prune(points, near, s), np.where(far == np.arange(m)[:, None], -1, far)])
+    src, dst = np.repeat(np.arange(m), out.shape[1]), out.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
     pairs = np.unique(np.concatenate([src * np.int64(m) + dst, dst * np.int64(m) + src]))
     return np.split((pairs % m).astype(np.int32), np.searchsorted(pairs // m, np.arange(1, m)))
 
 
+def medoids(points: np.ndarray, number: int) -> np.ndarray:
+    """The point nearest to the mean, then those farthest from the ones before."""
+    out = [int((points @ points.mean(0)).argmax())]
+    nearest = points @ points[out[0]]
+    while len(out) < min(number, len(points)):
+        out.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, points @ points[out[-1]])
+    return np.unique(out)
+
+
 def range_search(points: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, s: Settings) -> Iterator[tuple[int, np.ndarray]]:
     """Of each query (a point's index), the points met that are within the range or near it."""
-    mean = points.mean(0)
-    medoid = int((points @ mean).argmax())
+    start = medoids(points, s.medoids)
     floor = s.least - s.slack
     for q in queries.tolist():
         me = points[q]
         seen = np.zeros(len(points), bool)
-        start = np.unique([medoid, q])
         seen[start] = True
         ids, sims = start, points[start] @ me
         done = np.zeros(len(start), bool)
@@ -124,20 +141,20 @@ def range_search(points: np.ndarray, lists: list[np.ndarray], queries: np.ndarra
         yield q, ids[sims >= s.least - 1e-5]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one value of the first column, from a sorted partition."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """Rows that agree in the first columns, from a sorted partition."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            if held and keys[a] != now:
+            if held and tuple(key[a]) != now:
                 yield pa.Table.from_batches(held)
                 held = []
-            now = keys[a]
+            now = tuple(key[a])
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
@@ -159,41 +176,94 @@ def _build(s: Settings):
     return work
 
 
+MET = "node long, links long, root long"
+
+
+class Members:
+    """The points of a cell, or of two blocks of one: what counting and joining of found pairs needs."""
+
+    def __init__(self, t: pa.Table, here: int):
+        self.node, self.weight, cells = t.column("node").to_numpy(), t.column("weight").to_numpy(), t.column("cells").combine_chunks()
+        m, size = len(self.node), cells.value_lengths().to_numpy()
+        self.cells = np.full((m, int(size.max())), np.iinfo(np.int64).min)
+        self.cells[np.arange(self.cells.shape[1]) < size[:, None]] = cells.flatten().to_numpy()
+        self.rank = (self.cells == here).argmax(1)
+        self.links, self.parent = np.zeros(m, np.int64), np.arange(m)
+
+    def first_here(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Whether no cell that q lists before this one holds p too."""
+        out = np.ones(len(q), bool)
+        for a in range(int(self.rank.max())):
+            for b in range(self.cells.shape[1]):
+                out &= ~((a < self.rank[q]) & (self.cells[q, a] == self.cells[p, b]))
+        return out
+
+    def _find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def add(self, q: np.ndarray, p: np.ndarray) -> None:
+        """Links from q to p, rows of one q together; the other direction is given likewise."""
+        own = self.first_here(q, p)
+        np.add.at(self.links, q[own], self.weight[p[own]])
+        cuts = np.flatnonzero(q[1:] != q[:-1]) + 1
+        for i, some in zip(q[np.r_[0, cuts]].tolist() if len(q) else [], np.split(p, cuts)):
+            # A ball's points meet in few components: only one step for each.
+            for r in np.unique(self.parent[some]).tolist():
+                a, b = self._find(i), self._find(r)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+
+    def met(self) -> pa.RecordBatch:
+        root = np.array([self._find(i) for i in range(len(self.node))], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.node), pa.array(self.links), pa.array(self.node[root])], ["node", "links", "root"])
+
+
 def _search(s: Settings):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            node, weight, home = t.column(1).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy()
-            exact = _matrix(t.column(2))
+            members = Members(t, t.column("cell")[0].as_py())
+            node, m = members.node, len(members.node)
+            exact = _matrix(t.column("x"))
             points = exact.astype(np.float32)
             order = np.argsort(node)
-            column = t.column(5).combine_chunks()
+            column = t.column("list").combine_chunks()
             flat = column.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(node[order], flat), len(node) - 1)
+            at = np.minimum(np.searchsorted(node[order], flat), m - 1)
             here = node[order][at] == flat
             local = order[at]
             ends = np.cumsum(column.value_lengths().to_numpy())
             lists = [local[a:b][here[a:b]] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            links = np.zeros(len(node), np.int64)
-            parent = np.arange(len(node))
-
-            def find(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            for q, found in range_search(points, lists, np.flatnonzero(home), s):
+            pairs = [np.zeros(0, np.int64)]
+            for q, found in range_search(points, lists, np.arange(m), s):
                 found = found[found != q]
                 found = found[exact[found] @ exact[q] >= s.least]  # verified in double precision
-                links[q] = weight[found].sum()
-                if len(found):
-                    # A ball's points meet in few components: only one step for each.
-                    for r in np.unique(parent[found]).tolist():
-                        a, b = find(q), find(r)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-            root = np.array([find(i) for i in range(len(node))], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(home), pa.array(node[root])], ["node", "links", "home", "root"])
+                pairs += [q * np.int64(m) + found, found * np.int64(m) + q]
+            both = np.unique(np.concatenate(pairs))
+            members.add(both // m, both % m)
+            yield members.met()
+
+    return work
+
+
+def _compare(s: Settings):
+    """Sorted rows (cell, i, j, block, ...): all pairs of two blocks of a cell, exactly."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3):
+            members = Members(t, t.column("cell")[0].as_py())
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            block, exact = t.column("block").to_numpy(), _matrix(t.column("x"))
+            for at in range(0, len(exact), 256):
+                near = exact[at : at + 256] @ exact.T >= s.least
+                near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+                if i != j:
+                    near &= block[at : at + 256, None] != block[None]
+                q, p = np.nonzero(near)
+                members.add(q + at, p)
+            yield members.met()
 
     return work
 
@@ -225,27 +295,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([(np.array(x, "<f8") / np.abs(x).max()).tobytes() for x in b.column(2).to_pylist()], pa.binary()), b.column(3)], ["node", "part", "x", "weight"])
 
 
+PLACED = "cell long, node long, x binary, weight long, cells array<long>"
+
+
 def _assign(shared, s: Settings):
-    """Points -> a row for each cell they are in; cells of a small part have no centres."""
+    """Points -> a row for each cell they are in, with all their cells, home first; a small part is one cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.column(1).to_numpy()
-            rows, cells, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            rows, cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(part), np.int64)
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)
                 if p not in shared.value:
-                    rows.append(at), cells.append(np.full(len(at), p)), home.append(np.ones(len(at), bool))
+                    rows.append(at), cells.append(np.full(len(at), p))
                     continue
                 x = _matrix(b.column(2).take(pa.array(at)))
                 angle = np.arccos(np.clip(x @ shared.value[p].T, -1, 1))
                 order = np.argsort(angle, axis=1, kind="stable")[:, : s.guests + 1]
                 close = np.take_along_axis(angle, order, 1)
                 i, j = np.nonzero(close <= close[:, :1] + s.margin)
-                rows.append(at[i]), home.append(j == 0)
-                cells.append((np.int64(p) ^ ((order[i, j].astype(np.int64) + 1) * np.int64(0x5DEECE66D))))
-            take = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), b.column(0).take(pa.array(take)), b.column(2).take(pa.array(take)), b.column(3).take(pa.array(take)), pa.array(np.concatenate(home))], ["cell", "node", "x", "weight", "home"])
+                rows.append(at[i])
+                cells.append(np.int64(p) ^ ((order[i, j].astype(np.int64) + 1) * np.int64(0x5DEECE66D)))
+                counts[at] = np.bincount(i, minlength=len(at))
+            take, cell = np.concatenate(rows), np.concatenate(cells)
+            order = np.argsort(take, kind="stable")  # a point's rows together, in its own order of cells
+            take, cell = take[order], cell[order]
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell))
+            some = pa.array(take)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0).take(some), b.column(2).take(some), b.column(3).take(some), lists.take(some)], ["cell", "node", "x", "weight", "cells"])
 
     return work
 
@@ -257,7 +336,7 @@ def near_duplicates(rows: DataFrame, s: Settings = Settings(), key: str = "vec_i
     good = every.filter("good").withColumn("node", F.xxhash64("label", "v"))
     classes = good.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("weight"))
     packed = classes.select("node", F.xxhash64("label", F.size("v")).alias("part"), "v", "weight").mapInArrow(_pack, "node long, part long, x binary, weight long")
-    points, _ = scratch.written(packed, "points")
+    points, points_at = scratch.written(packed, "points")
     n = points.count()
     cell = max(s.cell, -(-n // s.most_cells))
     large = {r.part: r.n for r in points.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * cell).collect()}  # at most n / cell parts
@@ -274,45 +353,51 @@ def near_duplicates(rows: DataFrame, s: Settings = Settings(), key: str = "vec_i
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             found[p] = centres(x, min(len(x), -(-large[p] // cell)))
     shared = spark.sparkContext.broadcast(found)
-    for left in range(tries, 0, -1):
-        out = _run(points, shared, s)
-        recall = audit(points, out, s)
+    for _ in range(tries):
+        links, stars, met_at = _run(points, shared, s)
+        recall = audit(points, links, s)
         if recall >= s.least_recall:
             break
+        scratch.drop(spark, met_at)
         s = replace(s, guests=2 * s.guests + 1, margin=2 * s.margin, beam=2 * s.beam)
     else:
         raise RuntimeError(f"recall {recall:.3f} of near-duplicate vectors is below {s.least_recall}")
-    links, stars = out
     comps = graph.components(stars.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = good.select("vec_id", "node").join(links, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named, _ = scratch.written(named.join(points.select("node", "weight"), "node"), "named")
+    scratch.drop(spark, points_at, met_at)
     least = named.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
     linked = named.join(least, "comp").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
     alone = every.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
 
 
-def _run(points: DataFrame, shared, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(node, links) of every point, and (node, root): stars of the cells' local components."""
-    placed, placed_at = scratch.written(points.mapInArrow(_assign(shared, s), "cell long, node long, x binary, weight long, home boolean"), "placed")
-    built = placed.select("cell", "node", "x").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_build(s), "node long, list array<long>")
+def _run(points: DataFrame, shared, s: Settings) -> tuple[DataFrame, DataFrame, str]:
+    """(node, links) of every point, and (node, root): stars of the cells' local components; where they are written."""
+    spark = points.sparkSession
+    placed, placed_at = scratch.written(points.mapInArrow(_assign(shared, s), PLACED), "placed")
+    large, large_at = scratch.written(placed.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > s.most_points), "large")
+    usual = placed.join(large, "cell", "left_anti")
+    built = usual.select("cell", "node", "x").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_build(s), "node long, list array<long>")
     lists = built.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("list")))).alias("list"))
-    joined = placed.join(lists, "node").select("cell", "node", "x", "weight", "home", "list")
-    met = joined.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_search(s), "node long, links long, home boolean, root long")
-    met, _ = scratch.written(met, "met")
-    scratch.drop(points.sparkSession, placed_at)
-    return met.filter("home").select("node", "links"), met.select("node", "root")
+    joined = usual.join(lists, "node").select("cell", "node", "x", "weight", "cells", "list")
+    met = joined.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_search(s), MET)
+    blocks = F.ceil(F.col("m") / F.lit(s.most_points / 2)).cast("int")
+    dealt = placed.join(large, "cell").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "x", "weight", "cells")
+    met = met.union(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node").mapInArrow(_compare(s), MET))
+    met, met_at = scratch.written(met, "met")
+    scratch.drop(spark, placed_at, large_at)
+    return met.groupBy("node").agg(F.sum("links").alias("links")), met.select("node", "root"), met_at
 
 
-def audit(points: DataFrame, out: tuple[DataFrame, DataFrame], s: Settings) -> float:
-    """Share of the links of ``audited`` points (of least hash), found by brute force, that were found.
+def audit(points: DataFrame, links: DataFrame, s: Settings) -> float:
+    """Mean share of a point's links that were found, over ``audited`` points of least hash that have any by brute force.
 
-    The points are chosen from those that have links or near ones, half of all, so that misses show.
+    1 if none of them has.
     """
     spark = points.sparkSession
-    chosen = points.orderBy(F.xxhash64("node", F.lit(2))).limit(s.audited).select("node", "part", "x")
-    linked = points.join(out[0].filter("links > 0").orderBy(F.xxhash64("node", F.lit(3))).limit(s.audited).select("node"), "node").select("node", "part", "x")
-    queries = chosen.union(linked).dropDuplicates(["node"]).collect()
+    queries = points.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(s.audited).select("node", "part", "x").collect()
     by_part: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for p in {r.part for r in queries}:
         own = [r for r in queries if r.part == p]
@@ -333,8 +418,8 @@ def audit(points: DataFrame, out: tuple[DataFrame, DataFrame], s: Settings) -> f
                 near = (q @ _matrix(b.column(2).take(pa.array(at))).T >= least) & (names[:, None] != node[at][None])
                 for name, k in zip(names.tolist(), (near * weight[at]).sum(1).tolist()):
                     total[name] = total.get(name, 0) + k
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "true"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "truth"])
 
-    truth = points.mapInArrow(work, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = truth.join(out[0], "node").agg(F.sum("true").alias("t"), F.sum("links").alias("l")).first()
-    return 1.0 if not got.t else got.l / got.t
+    truth = points.mapInArrow(work, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth")).filter("truth > 0")
+    got = truth.join(links, "node").agg(F.avg(F.least(F.col("links") / F.col("truth"), F.lit(1.0)))).first()[0]
+    return 1.0 if got is None else got
