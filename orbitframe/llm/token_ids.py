@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
-from .chunked import worker_words
+from .chunked import with_end, worker_words
 
 HEAD = struct.Struct("<4sIQQI")
 #: Ids a page gathers before it is closed; a longer document has a page of its own.
@@ -88,12 +88,14 @@ def encode(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(path, False)
-        end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = [x + end for x in words(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for ids, number in words(batch.column(1)):
+                ids, number = with_end(ids, number, end_id)
+                n, edges = len(number), np.concatenate([[0], np.cumsum(number)]) * words.dtype.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), packed.cast(pa.binary())], ["doc_id", "ids"])
+                at += n
 
     return docs.select(key, text).mapInArrow(work, "doc_id long, ids binary")
 
