@@ -7,10 +7,10 @@ from pyspark.sql import Column, functions as F
 SECTOR, SLOT, HUNK_SLOTS, HDA = 2352, 2448, 8, 45000
 # Bit and name of each peripheral, in the order of listing.
 PERIPHERALS = (
-    (0, "Windows CE"), (4, "VGA box"), (8, "Other expansions"), (9, "Jump pack"), (10, "Microphone"), (11, "VMU"), (12, "Controller"),
-    (13, "C button"), (14, "D button"), (15, "X button"), (16, "Y button"), (17, "Z button"), (18, "Expanded directions"),
-    (19, "Analog R"), (20, "Analog L"), (21, "Analog horizontal"), (22, "Analog vertical"), (23, "Expanded analog horizontal"), (24, "Expanded analog vertical"),
-    (25, "Light gun"), (26, "Keyboard"), (27, "Mouse"),
+    (12, "controller"), (13, "C button"), (14, "D button"), (15, "X button"), (16, "Y button"), (17, "Z button"), (18, "expanded directions"),
+    (19, "analog R trigger"), (20, "analog L trigger"), (21, "analog horizontal"), (22, "analog vertical"), (23, "expanded analog horizontal"), (24, "expanded analog vertical"),
+    (11, "VMU"), (9, "jump pack"), (10, "microphone"), (8, "other expansions"),
+    (27, "mouse"), (26, "keyboard"), (25, "light gun"), (4, "VGA box"), (0, "Windows CE"),
 )
 
 
@@ -118,14 +118,14 @@ def regions(area: Column) -> Column:
 
 
 def peripherals(digits: Column) -> Column:
-    """Names of the set bits; null where the digits are no hex number."""
+    """Names of the set bits; null where the digits are no hex number of 32 bits."""
     value = F.conv(digits, 16, 10).cast("long")
     named = F.filter(F.array(*(F.when(value.bitwiseAND(F.lit(1 << bit).cast("long")) != 0, name) for bit, name in PERIPHERALS)), lambda x: x.isNotNull())
-    return F.when(digits.rlike("^[0-9A-Fa-f]+$"), named)
+    return F.when(digits.rlike("^0*[0-9A-Fa-f]{1,8}$"), named)
 
 
 def disc_number(text: Column) -> Column:
-    return F.regexp_extract(text, "GD-ROM(.*)$", 1)
+    return F.regexp_replace(F.regexp_extract(text, "(?s)GD-ROM(.*)$", 1), r"^\s+|\s+$", "")
 
 
 def output_format(flag: Column, path: Column) -> Column:
