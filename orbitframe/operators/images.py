@@ -13,6 +13,7 @@ import os
 import shutil
 import struct
 import sys
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -91,8 +92,9 @@ RECORDS = "target string, hunk bigint, kind int, length bigint, crc int, sha1 bi
 def encode_hunks(discs: DataFrame, codecs: tuple[str, ...], work: str) -> DataFrame:
     """RECORDS of all hunks of (target, tracks); the blocks go to a file of each stretch in ``work``."""
     total = F.aggregate(F.transform("tracks", lambda t: t["total"]), F.lit(0).cast("long"), lambda a, x: a + x)
-    stretches = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), S.idiv(total + 7, 8) - 1).cast("long"), F.lit(A.STRETCH).cast("long"))
-    todo = discs.select("target", "tracks", F.explode(stretches).alias("first")).repartition("target", "first")
+    size = A.STRETCH
+    stretches = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), S.idiv(total + 7, 8) - 1).cast("long"), F.lit(size).cast("long"))
+    todo = A.spread(discs.select("target", "tracks", F.explode(stretches).alias("first")), "target", "first")
 
     def run(batches):
         arrow = pa.schema([("target", pa.string()), ("hunk", pa.int64()), ("kind", pa.int32()), ("length", pa.int64()), ("crc", pa.int32()), ("sha1", pa.binary()), ("file", pa.string()), ("at", pa.int64())])
@@ -100,7 +102,7 @@ def encode_hunks(discs: DataFrame, codecs: tuple[str, ...], work: str) -> DataFr
             for row in batch.to_pylist():
                 out, at, file = [], 0, os.path.join(work, f"{uuid.uuid4().hex}.blocks")
                 with open(file, "wb") as f:
-                    for i, (hunk, audio) in enumerate(disc_hunks(row["tracks"], row["first"], min(row["first"] + A.STRETCH, hunk_count(row["tracks"])))):
+                    for i, (hunk, audio) in enumerate(disc_hunks(row["tracks"], row["first"], min(row["first"] + size, hunk_count(row["tracks"])))):
                         slot, block = B.encode(hunk, audio, codecs)
                         out.append((row["target"], row["first"] + i, A.NONE if slot is None else slot, len(block), B.crc16(hunk), hashlib.sha1(hunk).digest(), file, at))
                         f.write(block)
@@ -233,7 +235,7 @@ def write_archives(spark: SparkSession, discs: DataFrame, codec: str = "cdzl,cdf
         encode_hunks(discs, codecs, work).write.parquet(f"{work}/records")
         records = spark.read.parquet(f"{work}/records")
         plans = discs.select("target", F.lit(-1).cast("long").alias("hunk"), F.to_json("tracks").alias("plan"))
-        both = records.withColumn("plan", F.lit(None).cast("string")).unionByName(plans, allowMissingColumns=True).repartition("target").sortWithinPartitions("target", "hunk")
+        both = A.spread(records.withColumn("plan", F.lit(None).cast("string")).unionByName(plans, allowMissingColumns=True), "target").sortWithinPartitions("target", "hunk")
 
         def run(batches):
             import json
@@ -271,6 +273,18 @@ def work_folder(spark: SparkSession, work: str | None) -> str:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder; a session of one machine gets a temporary one where none is set."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="orbitframe-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 # Extraction and copies
 
 
@@ -327,7 +341,7 @@ def copy_tracks(t: DataFrame) -> None:
                     put(r["folder"], r["name"], r["at"], A.read_at(f, r["pregap"] * S.SECTOR + r["at"], r["n"], r["file"]) if r["n"] else b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    pieces.select("file", "pregap", "folder", "name", "at", "n").repartition("name", "at").mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+    A.spread(pieces.select("file", "pregap", "folder", "name", "at", "n"), "file", "at").mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
 
 
 class Staged:
@@ -359,34 +373,73 @@ class Staged:
 # Digests
 
 REPORT = "path string, hunks bigint, tracks int, logical_bytes bigint, raw_sha1 string, combined_sha1 string, track_sha1 array<string>, error string"
+DECODED = "path string, stretch bigint, file string, error string"
+
 
+def decode_stretches(paths: DataFrame, folder: str) -> DataFrame:
+    """DECODED of all stretches: their hunks decoded and checked, packed in a file of their own in ``folder``."""
+
+    def run(batches):
+        import zstandard
 
-def verify(paths: DataFrame) -> DataFrame:
-    """A row of REPORT for each archive: every hunk decoded, checked and hashed, one task per archive.
+        for batch in batches:
+            for row in batch.to_pylist():
+                file, error = os.path.join(folder, f"{uuid.uuid4().hex}.hunks"), None
+                try:
+                    with open(file, "wb") as f, zstandard.ZstdCompressor(level=1).stream_writer(f) as out:
+                        for _, data in A.decoded_stretch(row):
+                            out.write(data)
+                except A.BadArchive as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["stretch"]], pa.int64()), pa.array([file]), pa.array([error], pa.string())], names=["path", "stretch", "file", "error"])
 
-    ``error`` says what is wrong (null: nothing); the digests found are given where all hunks decode.
+    return A.stretches(paths).mapInArrow(run, DECODED)
+
+
+def read_decoded(files: list[dict], hunk_bytes: int) -> Iterator[bytes]:
+    """The hunks of an archive's rows of DECODED, in order; the first damage is raised where it stands."""
+    import zstandard
+
+    for row in sorted(files, key=lambda r: r["stretch"]):
+        if row["error"]:
+            raise A.BadArchive(row["error"])
+        with open(row["file"], "rb") as f, zstandard.ZstdDecompressor().stream_reader(f) as r:
+            while data := r.read(hunk_bytes):
+                yield data
+
+
+def verify(paths: DataFrame, work: str | None = None) -> DataFrame:
+    """A row of REPORT for each archive: every hunk decoded, checked and hashed.
+
+    With ``work``, a folder that all executors share, hunks are decoded and checked in stretches by
+    all tasks and only the digests, which are one sequence each, are folded by one task per archive;
+    the reports stay in that folder. Without, an archive is one task's. ``error`` says what is wrong
+    (null: nothing); the digests found are given where all hunks decode.
     """
+    spark = paths.sparkSession
     spans = L.spans(A.tracks(paths)).groupBy(F.col("disc").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "span_start", "span_end", S.is_audio(F.col("type")).alias("audio")))).alias("spans"))
 
-    def one(path: str, spans: list[dict]) -> tuple:
+    def one(path: str, spans: list[dict], files: list[dict] | None) -> tuple:
         with A.opened(path) as f:
             head = A.read_head(f)
             m, metas = A.read_map(f, head), A.read_meta(f, head)
-            raw, files, left, n = hashlib.sha1(), [hashlib.sha1() for _ in spans], head.logical, head.hunk_bytes // B.SLOT
-            for hunk, data in enumerate(A.stream(f, head, m)):
+            raw, sums, left, n = hashlib.sha1(), [hashlib.sha1() for _ in spans], head.logical, head.hunk_bytes // B.SLOT
+            for hunk, data in enumerate(A.stream(f, head, m) if files is None else read_decoded(files, head.hunk_bytes)):
                 data = data[:left]
                 left -= len(data)
                 raw.update(data)
                 whole, low = len(data) // B.SLOT, hunk * n
                 sectors = B.split(data[: whole * B.SLOT])[0]
-                for t, h in zip(spans, files):
+                for t, h in zip(spans, sums):
                     a, b = max(t["span_start"], low), min(t["span_end"], low + whole)
                     if a < b:
                         part = sectors[a - low : b - low].tobytes()
                         h.update(B.swapped(part) if t["audio"] else part)
-        sums = raw.digest(), combined(raw.digest(), metas)
-        error = "the data's digest is not the header's" if sums[0] != head.raw_sha1 else "the metadata's digest is not the header's" if sums[1] != head.combined_sha1 else None
-        return path, head.hunks, len(spans), head.logical, sums[0].hex(), sums[1].hex(), [h.hexdigest() for h in files], error
+        if left:
+            raise A.BadArchive(f"{path}: {left} bytes of its hunks are missing")
+        own = raw.digest(), combined(raw.digest(), metas)
+        error = "the data's digest is not the header's" if own[0] != head.raw_sha1 else "the metadata's digest is not the header's" if own[1] != head.combined_sha1 else None
+        return path, head.hunks, len(spans), head.logical, own[0].hex(), own[1].hex(), [h.hexdigest() for h in sums], error
 
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
@@ -394,12 +447,24 @@ def verify(paths: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 try:
-                    row = one(r["path"], r["spans"])
+                    row = one(r["path"], r["spans"], r["files"])
                 except A.BadArchive as e:
                     row = (r["path"], None, len(r["spans"]), None, None, None, None, str(e))
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
 
-    return spans.repartition("path").mapInArrow(run, REPORT)
+    if work is None:
+        return A.spread(spans.withColumn("files", F.lit(None).cast("array<struct<stretch:bigint,file:string,error:string>>")), "path").mapInArrow(run, REPORT)
+    folder = work_folder(spark, work)
+    try:
+        os.makedirs(f"{folder}/hunks")
+        decode_stretches(paths, f"{folder}/hunks").write.parquet(f"{folder}/decoded")
+        files = spark.read.parquet(f"{folder}/decoded").groupBy("path").agg(F.collect_list(F.struct("stretch", "file", "error")).alias("files"))
+        whole = spans.join(files, "path", "left").select("path", "spans", F.coalesce("files", F.array().cast("array<struct<stretch:bigint,file:string,error:string>>")).alias("files"))
+        A.spread(whole, "path").mapInArrow(run, REPORT).write.parquet(f"{folder}/reports")
+    finally:
+        for part in ("hunks", "decoded"):
+            shutil.rmtree(f"{folder}/{part}", ignore_errors=True)
+    return spark.read.schema(REPORT).parquet(f"{folder}/reports")
 
 
 def file_sha1(t: DataFrame) -> DataFrame:
@@ -414,4 +479,4 @@ def file_sha1(t: DataFrame) -> DataFrame:
                         digest.update(part)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], names=["file", "sha1"])
 
-    return t.select("file").distinct().repartition("file").mapInArrow(run, "file string, sha1 string")
+    return A.spread(t.select("file").distinct(), "file").mapInArrow(run, "file string, sha1 string")

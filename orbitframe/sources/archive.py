@@ -277,8 +277,14 @@ def listed(spark: SparkSession, root: str, ext: str = "chd") -> DataFrame:
     return files.filter(F.lower("path").endswith("." + ext.lower()))
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all tasks. The number is given, since small rows that stand for much work would be put in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def dealt(paths: DataFrame) -> DataFrame:
-    return paths.select("path").repartition("path")
+    return spread(paths.select("path"), "path")
 
 
 def headers(paths: DataFrame) -> DataFrame:
@@ -323,45 +329,81 @@ def tracks(paths: DataFrame) -> DataFrame:
     return L.infer_pregaps(t).withColumn("frames", F.col("real")).withColumnRenamed("inferred", "pregap")
 
 
-PLAN = "path string, hunk bigint, source bigint, codec string, offset bigint, length bigint, crc int, hunk_bytes int"
 HUNKS = "path string, hunk bigint, data binary"
+STRETCHES = "path string, stretch bigint, hunk_bytes int, hunk array<bigint>, source array<bigint>, codec array<string>, offset array<bigint>, length array<bigint>, crc array<int>, error string"
+_LONGS = pa.list_(pa.int64())
+_STRETCH = pa.schema([("path", pa.string()), ("stretch", pa.int64()), ("hunk_bytes", pa.int32()), ("hunk", _LONGS), ("source", _LONGS), ("codec", pa.list_(pa.string())), ("offset", _LONGS), ("length", _LONGS), ("crc", pa.list_(pa.int32())), ("error", pa.string())])
 
 
-def plan(paths: DataFrame) -> DataFrame:
-    """Where each hunk's bytes lie, self references followed; ``codec`` is null for bytes stored as they are."""
-
-    def rows(path, f, h):
-        m, n = read_map(f, h), h.hunks
-        source = [m.source(i) for i in range(n)]
-        codec = [None if m.kind[s] == NONE else h.codecs[m.kind[s]] for s in source]
-        return [[path] * n, list(range(n)), source, codec, [m.offset[s] for s in source], [m.length[s] for s in source], [m.crc[s] for s in source], [h.hunk_bytes] * n]
-
-    return dealt(paths).mapInArrow(each_path(PLAN, rows), PLAN)
+def stretches(paths: DataFrame, first: int = 0, end: int | None = None) -> DataFrame:
+    """Where the bytes of the hunks from ``first`` up to ``end`` lie, a row for each stretch, self references followed.
 
+    ``codec`` is null for bytes stored as they are. An archive that can't be planned has one row with its ``error``.
+    """
 
-def hunks(paths: DataFrame, wanted=None) -> DataFrame:
-    """(path, hunk, data) of all hunks, or of those that the condition ``wanted`` on the plan keeps.
+    size = STRETCH
 
-    What many hunks refer to is decoded once for each stretch that needs it. A damaged hunk is an error.
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with opened(path) as f:
+                        h = read_head(f)
+                        m = read_map(f, h)
+                        last = h.hunks if end is None else min(end, h.hunks)
+                        source = {i: m.source(i) for i in range(first, last)}
+                except BadArchive as e:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "stretch": 0, "error": f"{path}: {e}"}], schema=_STRETCH)
+                    continue
+                for at in range(first // size * size, last, size):
+                    own = range(max(first, at), min(at + size, last))
+                    parts = [source[i] for i in own]
+                    row = {"path": path, "stretch": at // size, "hunk_bytes": h.hunk_bytes, "hunk": list(own), "source": parts, "codec": [None if m.kind[x] == NONE else h.codecs[m.kind[x]] for x in parts]}
+                    row |= {"offset": [m.offset[x] for x in parts], "length": [m.length[x] for x in parts], "crc": [m.crc[x] for x in parts]}
+                    yield pa.RecordBatch.from_pylist([row], schema=_STRETCH)
+
+    return spread(dealt(paths).mapInArrow(run, STRETCHES), "path", "stretch")
+
+
+def decoded_stretch(row: dict) -> Iterator[tuple[int, bytes]]:
+    """(hunk, data) of a row of ``stretches``; what many hunks refer to is decoded once."""
+    if row["error"]:
+        raise BadArchive(row["error"])
+    uses: dict[int, int] = {}
+    for x in row["source"]:
+        uses[x] = uses.get(x, 0) + 1
+    done: dict[int, bytes] = {}
+    with opened(row["path"]) as f:
+        for hunk, x, *how in zip(*(row[k] for k in ("hunk", "source", "codec", "offset", "length", "crc"))):
+            data = done.get(x) or decoded(f, row["path"], x, *how, row["hunk_bytes"])
+            uses[x] -= 1
+            if uses[x]:
+                done[x] = data
+            else:
+                done.pop(x, None)
+            yield hunk, data
+
+
+def hunks(paths: DataFrame, first: int = 0, end: int | None = None) -> DataFrame:
+    """(path, hunk, data) of all hunks, or of those from ``first`` up to ``end``: no other is planned, read or shuffled.
+
+    A damaged hunk is an error.
     """
-    p = plan(paths)
-    p = p if wanted is None else p.filter(wanted)
-    at = p.groupBy("path", S.idiv(F.col("hunk"), STRETCH).alias("stretch")).agg(F.sort_array(F.collect_list(F.struct(*p.columns[1:]))).alias("parts"))
 
     def run(batches):
         arrow = pa.schema([("path", pa.string()), ("hunk", pa.int64()), ("data", pa.binary())])
         for batch in batches:
-            for path, parts in zip(batch.column("path").to_pylist(), batch.column("parts").to_pylist()):
-                done: dict[int, bytes] = {}
-                with opened(path) as f:
-                    for i in range(0, len(parts), 32):
-                        some = parts[i : i + 32]
-                        for x in some:
-                            if x["source"] not in done:
-                                done[x["source"]] = decoded(f, path, x["source"], x["codec"], x["offset"], x["length"], x["crc"], x["hunk_bytes"])
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([x["hunk"] for x in some], pa.int64()), pa.array([done[x["source"]] for x in some], pa.binary())], schema=arrow)
-
-    return at.select("path", "parts").mapInArrow(run, HUNKS)
+            for row in batch.to_pylist():
+                some: list[tuple[int, bytes]] = []
+                for one in decoded_stretch(row):
+                    some.append(one)
+                    if len(some) == 32:
+                        yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(some)), pa.array([h for h, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary())], schema=arrow)
+                        some = []
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(some)), pa.array([h for h, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary())], schema=arrow)
+
+    return stretches(paths, first, end).mapInArrow(run, HUNKS)
 
 
 def sectors(paths: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import layout as L
-from .archive import opened
+from .archive import opened, read_at, spread
 
 HEAD_AT, HEAD_BYTES = 16, 256
+#: Sectors that a task reads of a file at a time.
+STRETCH = 1 << 14
 # First byte and end of each text field of the boot header.
 HEAD_FIELDS = {"hardware_id": (0x00, 0x10), "maker_id": (0x10, 0x20), "device": (0x20, 0x30), "area": (0x30, 0x38), "peripherals": (0x38, 0x40), "product_no": (0x40, 0x4A), "version": (0x4A, 0x50), "date": (0x50, 0x60), "boot_file": (0x60, 0x70), "maker": (0x70, 0x80), "title": (0x80, 0x100)}
 HEADER = ("hardware_id", "maker_id", "title", "maker", "product_no", "version", "release_date", "disc_no", "regions", "peripherals", "boot_file")
@@ -23,8 +25,13 @@ HEADER = ("hardware_id", "maker_id", "title", "maker", "product_no", "version",
 
 def read_sheets(spark: SparkSession, root: str, ext: str) -> DataFrame:
     """(path, content) of the sheets with that extension, in any case, at or below a path; files of no bytes aren't listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(F.lower("path").endswith("." + ext)).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(ext)).load(root)
+    return files.filter("length > 0").select("path", "content")
+
+
+def any_case(ext: str) -> str:
+    """A glob of an extension in any case: files beside it are listed but never opened."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in ext)
 
 
 def lines(sheets: DataFrame) -> DataFrame:
@@ -124,6 +131,28 @@ def gdi_layout(sheets: DataFrame) -> DataFrame:
     return t.withColumn("frames", S.idiv(F.col("size"), S.SECTOR)).withColumn("start_lba", F.col("lba")).withColumn("pregap", F.lit(0).cast("long")).select(*LAYOUT)
 
 
+def track_sectors(t: DataFrame) -> DataFrame:
+    """(disc, pos, sector, data) of all sectors of layout rows' files, pregaps included; a part sector at the end is left out.
+
+    Files are read in stretches, so that one disc keeps many tasks busy.
+    """
+    size = STRETCH
+    first = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))
+    todo = sized(t).withColumn("n", S.idiv(F.col("size"), S.SECTOR)).filter("n > 0").select("disc", "pos", "file", "n", F.explode(first).alias("first"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                with opened(row["file"]) as f:
+                    for at in range(row["first"], min(row["first"] + size, row["n"]), 256):
+                        n = min(256, row["first"] + size - at, row["n"] - at)
+                        data = read_at(f, at * S.SECTOR, n * S.SECTOR, row["file"])
+                        parts = [data[i * S.SECTOR : (i + 1) * S.SECTOR] for i in range(n)]
+                        yield pa.RecordBatch.from_arrays([pa.array([row["disc"]] * n), pa.array([row["pos"]] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(parts, pa.binary())], names=["disc", "pos", "sector", "data"])
+
+    return spread(todo, "file", "first").mapInArrow(run, "disc string, pos bigint, sector bigint, data binary")
+
+
 # Writing
 
 
