@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import scalars as S
 from .operators import chunks as C
@@ -59,7 +59,7 @@ def describe(spark: SparkSession, root: str, fmt: str) -> tuple[DataFrame, DataF
     discs = t.groupBy("disc").agg(F.max("gdrom").alias("gdrom"), F.count("*").cast("int").alias("tracks"), F.sum("bytes").alias("bytes"))
     if fmt == "chd":
         found = images(spark, root, fmt)
-        first = A.hunks(found, F.col("hunk") == 0).select(F.col("path").alias("disc"), F.substring("data", 1, S.SECTOR).alias("sector"))
+        first = A.hunks(found, 0, 1).select(F.col("path").alias("disc"), F.substring("data", 1, S.SECTOR).alias("sector"))
         heads = A.headers(found).join(found, "path").select(F.col("path").alias("disc"), F.array_join("codecs", ", ").alias("codec"), "hunks", F.col("size").alias("stored"))
         discs = discs.join(heads, "disc", "left")
     else:
@@ -69,24 +69,69 @@ def describe(spark: SparkSession, root: str, fmt: str) -> tuple[DataFrame, DataF
     return discs.select("disc", F.lit(fmt).alias("format"), "gdrom", "tracks", "bytes", "codec", "hunks", "stored", *H.boot_header(F.col("sector"))), t
 
 
-def as_json(discs: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(disc, json): one object for each disc; empty fields are left out, lists of flags are kept."""
-    blank = [F.nullif(F.col(n), F.lit("")).alias(n) if kind == "string" and n != "disc" else F.col(n) for n, kind in discs.dtypes]
-    row = F.struct("pos", "number", "type", "start_lba", "frames", "bytes", F.nullif("pregap", F.lit(0)).alias("pregap"), F.nullif("file", F.lit("")).alias("file"))
-    nested = tracks.groupBy("disc").agg(F.array_sort(F.collect_list(row)).alias("layout"))
-    return discs.select(*blank).join(nested, "disc").select("disc", F.to_json(F.struct(*[c for c in discs.columns], "layout")).alias("json"))
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def named_file(t: DataFrame) -> Column:
+    """A track's file as its sheet names it."""
+    folder = F.regexp_replace("disc", "[^/]*$", "")
+    return F.when(F.col("file").startswith(folder), F.expr("substr(file, length(regexp_replace(disc, '[^/]*$', '')) + 1)")).otherwise(F.col("file"))
+
 
+#: Keys of a report, each with its column of ``describe``; empty ones but the first four are left out.
+INFO_KEYS = (
+    ("name", "title"), ("format", "format"), ("gdrom", "gdrom"), ("hardware_id", "hardware_id"), ("maker_id", "maker_id"), ("maker", "maker"),
+    ("product_number", "product_no"), ("version", "version"), ("release_date", "release_date"), ("disc", "disc_no"), ("regions", "regions"),
+    ("peripherals", "peripherals"), ("boot_filename", "boot_file"), ("codec", "codec"), ("hunks", "hunks"), ("stored_bytes", "stored"), ("bytes", "bytes"),
+)
+KEPT_KEYS = ("format", "gdrom", "bytes")
 
-def verify(spark: SparkSession, root: str, fmt: str, catalogue: DataFrame | None = None) -> DataFrame:
+
+def filled(name: str, kind: str) -> Column:
+    """A value, or null where it is empty, zero or has no elements."""
+    c = F.col(name)
+    if kind.startswith("array"):
+        return F.when(F.size(c) > 0, c)
+    return F.nullif(c, F.lit("") if kind == "string" else F.lit(0))
+
+
+def as_json(discs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(disc, json): one object for each disc; empty fields are left out."""
+    kinds = dict(discs.dtypes)
+    track = F.struct("pos", "number", "type", F.col("start_lba").alias("lba"), "frames", "bytes", F.nullif(named_file(tracks), F.lit("")).alias("file"))
+    plain = F.transform(F.array_sort(F.collect_list(track)), lambda x: x.dropFields("pos"))
+    nested = tracks.groupBy("disc").agg(plain.alias("layout"))
+    fields = [(F.col(c) if key in KEPT_KEYS else filled(c, kinds[c])).alias(key) for key, c in INFO_KEYS]
+    return discs.join(nested, "disc").select("disc", F.to_json(F.struct(base_name(F.col("disc")).alias("file"), *fields, F.col("layout").alias("tracks"))).alias("json"))
+
+
+def verify_json(reports: DataFrame, version: str | None = None) -> DataFrame:
+    """(disc, error, json) of the rows of ``verify``; ``version`` is the catalogue's, None where there was none."""
+    kinds = dict(reports.dtypes)
+    own = ("hunks", "logical_bytes", "raw_sha1", "combined_sha1")
+    fields = [filled(k, kinds[k]).alias(k) if k in kinds else F.lit(None).cast("string").alias(k) for k in own]
+    fields.insert(1, F.col("tracks"))
+    if version is not None:
+        match = F.struct(F.nullif(F.lit(version), F.lit("")).alias("dat_version"), "titles", F.col("known").alias("tracks_known"))
+        fields.append(match.alias("redump"))
+    error = F.col("error") if "error" in kinds else F.lit(None).cast("string").alias("error")
+    return reports.select("disc", error, F.to_json(F.struct(base_name(F.col("disc")).alias("file"), *fields)).alias("json"))
+
+
+def verify(spark: SparkSession, root: str, fmt: str, catalogue: DataFrame | None = None, work: str | None = None) -> DataFrame:
     """A row for each disc: archives with their digests, sheets only against a catalogue.
 
     With a catalogue, ``titles`` are the games whose files are exactly the disc's tracks, and
-    ``known`` counts the tracks that it holds.
+    ``known`` counts the tracks that it holds. Archives are decoded by many tasks each where there
+    is a work folder that all executors share (``work``, or the session's checkpoint folder).
     """
     if fmt == "gdi" or fmt == "cue" and catalogue is None:
         raise ValueError(f"{fmt} images hold no digests" + (" of whole tracks" if fmt == "gdi" else "; name a catalogue"))
     if fmt == "chd":
-        out = I.verify(images(spark, root, fmt)).withColumnRenamed("path", "disc")
+        shared = work or spark.conf.get("spark.checkpoint.dir", None) or ""
+        mounted = shared if shared.startswith("file:") or "://" not in shared else ""
+        out = I.verify(images(spark, root, fmt), mounted or None).withColumnRenamed("path", "disc")
         sums = out.select("disc", F.explode("track_sha1").alias("sha1"))
     else:
         t = layout(spark, root, fmt)
