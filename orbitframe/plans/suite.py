@@ -13,8 +13,6 @@ from ..operators import chunks as C, layout as L
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: The whole job of queries whose SQL folds or cuts their input; too many rows for SQL and for collecting.
-WHOLE: dict = {}
 
 #: The disc view in SQL.
 T = """t AS (SELECT o_custkey AS disc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos,
@@ -57,13 +55,13 @@ def query(sql: str | None):
     return add
 
 
-@query("WITH l AS (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS items FROM lineitem GROUP BY 1), s AS (SELECT items, min(l_orderkey) AS title, count(*) AS titles FROM l GROUP BY 1) SELECT l_orderkey, title, CAST(titles AS BIGINT) AS titles, l.items FROM l JOIN s USING (items)")
+@query("WITH l AS (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS items FROM lineitem GROUP BY 1), s AS (SELECT items, min(l_orderkey) AS title FROM l GROUP BY 1) SELECT l_orderkey, title, l.items FROM l JOIN s USING (items)")
 def catalogue_match(spark, sf):
-    """Every order's multiset of line flags against the catalogue of all multisets."""
+    """Every order's multiset of line flags against a catalogue that has each multiset once, under its least order."""
     lines = read(spark, sf, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("item"))
-    sets = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    titles = sets.groupBy("items").agg(F.min("l_orderkey").alias("title"), F.count("*").alias("titles"))
-    return sets.join(titles, "items").select("l_orderkey", "title", "titles", "items")
+    sets = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    catalogue = sets.groupBy("items").agg(F.min("l_orderkey").alias("title")).select("title", F.explode("items").alias("item"))
+    return C.match_sets(lines, catalogue, "l_orderkey", "title", "item")
 
 
 @query(f"WITH {LAID} SELECT disc, pos, start_lba, gdrom, frames * 2352 AS bytes FROM laid")
@@ -119,15 +117,11 @@ def sector_route(spark, sf):
     return L.route(e, L.spans(laid(spark, sf))).select("event_id", "disc", "lba", "pos", "sector")
 
 
-@query(f"WITH {T.replace('% 40000 + 1', '% 64 + 1')}, a AS (SELECT disc, pos, frames, {ALLOC} AS total, CAST(coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_lba FROM t), s AS (SELECT *, unnest(range(total)) AS frame FROM a) SELECT disc, pos, frame, (start_lba + frame) // 8 AS hunk, (start_lba + frame) % 8 AS slot, frame >= frames AS padding FROM s")
+@query(f"WITH {T}, a AS (SELECT disc, pos, frames, {ALLOC} AS total, CAST(coalesce(sum({ALLOC}) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM t), k AS (SELECT *, total // 8 * 28 + CASE WHEN total % 8 = 0 THEN 0 WHEN s % 8 = 0 THEN 6 ELSE 22 END AS slots FROM a) SELECT disc, pos, total AS rows, s // 8 AS first_hunk, (s + total - 1) // 8 AS last_hunk, CAST(slots AS BIGINT) AS slot_sum, CAST((total * s + total * (total - 1) // 2 - slots) // 8 AS BIGINT) AS hunk_sum, total - frames AS padding FROM k")
 def hunk_slots(spark, sf):
-    """Short tracks, so that every slot of every disc is a row."""
-    return L.hunk_slots(plain(spark, sf).withColumn("frames", F.lit(0) + (F.col("frames") - 1) % 64 + 1))
-
-
-def hunk_slots_whole(spark, sf):
-    """L11 over the tracks of the disc view as they are."""
-    return L.hunk_slots(plain(spark, sf))
+    """Every slot of every track as a row, summed up by track; the SQL has the sums in closed form."""
+    slots = L.hunk_slots(plain(spark, sf))
+    return slots.groupBy("disc", "pos").agg(F.count("*").alias("rows"), F.min("hunk").alias("first_hunk"), F.max("hunk").alias("last_hunk"), F.sum("slot").alias("slot_sum"), F.sum("hunk").alias("hunk_sum"), F.count_if("padding").alias("padding"))
 
 
 CUT = "h AS (SELECT doc_id, k AS hunk, substr(text, CAST(k * 64 + 1 AS BIGINT), 64) AS data FROM (SELECT doc_id, text, unnest(range((length(text) + 63) // 64)) AS k FROM documents))"
@@ -148,42 +142,28 @@ def dedup_self(spark, sf):
     return C.dedup(C.cut(read(spark, sf, "documents"), "doc_id", "text", 64), "doc_id").select("doc_id", "hunk", "self_hunk")
 
 
-#: Single characters as hunks, so that references abound.
-CHARS = "f AS (SELECT doc_id, i AS hunk, min(i) OVER (PARTITION BY doc_id, substr(text, CAST(i + 1 AS BIGINT), 1)) AS first FROM (SELECT doc_id, text, unnest(range(least(length(text), length(text)))) AS i FROM (SELECT doc_id, substr(text, 1, 64) AS text FROM documents))), r AS (SELECT doc_id, hunk, first AS self_hunk FROM f WHERE first < hunk), p AS (SELECT *, coalesce(lag(self_hunk) OVER (PARTITION BY doc_id ORDER BY hunk), 0) AS last FROM r), y AS (SELECT doc_id, hunk, self_hunk, CASE WHEN self_hunk = last THEN 'SELF_0' WHEN self_hunk = last + 1 THEN 'SELF_1' ELSE 'SELF' END AS symbol FROM p)".replace("least(length(text), length(text))", "length(text)")
+#: Single characters as hunks, so that references abound; whole texts.
+CHARS = "c AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS chars FROM documents), e AS (SELECT doc_id, unnest(chars) AS data, unnest(range(len(chars))) AS hunk FROM c), f AS (SELECT doc_id, hunk, min(hunk) OVER (PARTITION BY doc_id, data) AS self_hunk FROM e), r AS (SELECT * FROM f WHERE self_hunk < hunk), p AS (SELECT *, coalesce(lag(self_hunk) OVER (PARTITION BY doc_id ORDER BY hunk), 0) AS last FROM r), y AS (SELECT doc_id, hunk, self_hunk, CASE WHEN self_hunk = last THEN 'SELF_0' WHEN self_hunk = last + 1 THEN 'SELF_1' ELSE 'SELF' END AS symbol FROM p)"
 
 
-def _letters(spark, sf):
-    heads = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 64).alias("text"))
-    return C.promote(C.dedup(C.cut(heads, "doc_id", "text", 1), "doc_id"), "doc_id")
+def letters(spark, sf):
+    # One pass over a text; a piece by position would be quadratic in its length.
+    found = F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))
+    hunks = read(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("hunk", "data")).withColumn("hunk", F.col("hunk").cast("long"))
+    return C.promote(C.dedup(hunks, "doc_id"), "doc_id")
 
 
-@query(f"WITH {CHARS} SELECT doc_id, CAST(hunk AS BIGINT) AS hunk, CAST(self_hunk AS BIGINT) AS self_hunk, symbol FROM y")
+@query(f"WITH {CHARS} SELECT doc_id, CAST(count(*) AS BIGINT) AS refs, CAST(sum(hunk) AS BIGINT) AS hunks, CAST(sum(self_hunk) AS BIGINT) AS targets, CAST(count(*) FILTER (WHERE symbol = 'SELF_0') AS BIGINT) AS same, CAST(count(*) FILTER (WHERE symbol = 'SELF_1') AS BIGINT) AS after, CAST(sum(hunk) FILTER (WHERE symbol = 'SELF_1') AS BIGINT) AS after_hunks FROM y GROUP BY doc_id")
 def promote_self(spark, sf):
-    """A disc here is a document's first hunk, cut to letters."""
-    return _letters(spark, sf).select("doc_id", "hunk", "self_hunk", "symbol")
+    """A disc here is a whole document, cut to letters; its references summed up."""
+    y = letters(spark, sf)
+    return y.groupBy("doc_id").agg(F.count("*").alias("refs"), F.sum("hunk").alias("hunks"), F.sum("self_hunk").alias("targets"), F.count_if(F.col("symbol") == "SELF_0").alias("same"), F.count_if(F.col("symbol") == "SELF_1").alias("after"), F.sum(F.when(F.col("symbol") == "SELF_1", F.col("hunk"))).alias("after_hunks"))
 
 
 @query(f"WITH {CHARS}, m AS (SELECT doc_id, coalesce(max(CASE WHEN symbol = 'SELF' THEN self_hunk END), 0) AS m FROM y GROUP BY 1) SELECT doc_id, CAST(CASE WHEN m = 0 THEN 0 ELSE length(bin(m)) END AS BIGINT) AS width FROM m")
 def self_width(spark, sf):
-    """A9."""
-    return C.self_width(_letters(spark, sf), "doc_id")
-
-
-def _whole_letters(spark, sf):
-    # One pass over a text; a piece by position would be quadratic in its length.
-    letters = F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))
-    hunks = read(spark, sf, "documents").select("doc_id", F.posexplode(letters).alias("hunk", "data")).withColumn("hunk", F.col("hunk").cast("long"))
-    return C.promote(C.dedup(hunks, "doc_id"), "doc_id")
-
-
-def promote_self_whole(spark, sf):
-    """A disc here is a document, cut to letters over its whole length."""
-    return _whole_letters(spark, sf).select("doc_id", "hunk", "self_hunk", "symbol")
-
-
-def self_width_whole(spark, sf):
-    """A9, over whole texts."""
-    return C.self_width(_whole_letters(spark, sf), "doc_id")
+    """Whole texts."""
+    return C.self_width(letters(spark, sf), "doc_id")
 
 
 @query("SELECT doc_id, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
@@ -212,13 +192,13 @@ def known(spark, sf):
     return C.known(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey")
 
 
-@query("WITH p AS (SELECT DISTINCT event_id // 2 AS user_id, event_type FROM events), c AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'error' ELSE 'purchase' END AS event_type FROM orders), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY 1), h AS (SELECT user_id, o_custkey, count(*) AS m FROM p JOIN c USING (event_type) GROUP BY 1, 2) SELECT user_id, CAST(count(*) AS BIGINT) AS titles, min(o_custkey) AS first_title FROM h JOIN n USING (user_id) WHERE m = n GROUP BY 1")
+@query("WITH p AS (SELECT event_id // 2 AS user_id, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1), c AS (SELECT o_custkey, list_sort(list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'error' ELSE 'purchase' END)) AS held FROM orders GROUP BY 1), k AS (SELECT held, count(*) AS titles, min(o_custkey) AS first_title FROM c GROUP BY 1), s AS (SELECT DISTINCT items FROM p), h AS (SELECT items, sum(titles) AS titles, min(first_title) AS first_title FROM s JOIN k ON list_has_all(held, items) GROUP BY 1) SELECT user_id, CAST(titles AS BIGINT) AS titles, first_title FROM p JOIN h USING (items)")
 def candidates(spark, sf):
     """Customers whose kinds of order hold every kind of a pair of events."""
     probe = read(spark, sf, "events").select(S.idiv(F.col("event_id"), 2).alias("user_id"), "event_type")
     kind = F.when(F.col("o_orderstatus") == "F", "click").when(F.col("o_orderstatus") == "O", "error").otherwise("purchase")
     cat = read(spark, sf, "orders").select("o_custkey", kind.alias("event_type"))
-    return C.candidates(probe, cat, "user_id", "o_custkey", "event_type").groupBy("user_id").agg(F.count("*").alias("titles"), F.min("o_custkey").alias("first_title"))
+    return C.candidates(probe, cat, "user_id", "o_custkey", "event_type").select("user_id", "titles", "first_title")
 
 
 @query(f"WITH {T} SELECT disc, CAST(count(*) AS BIGINT) AS tracks, CAST(sum(frames) * 2352 AS BIGINT) AS bytes, bool_or(type = 'AUDIO') AS any_audio, CAST(count(*) FILTER (WHERE type = 'AUDIO') AS BIGINT) AS audio FROM t GROUP BY disc")
@@ -276,20 +256,28 @@ def gdi_render(spark, sf):
     return t.groupBy("disc").agg(F.concat(F.count("*").cast("string"), F.lit("\n"), lines).alias("sheet"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS released, CASE o_orderstatus WHEN 'F' THEN 'Japan' WHEN 'O' THEN 'Japan,Europe' ELSE '' END AS regions, ' 1/' || (o_custkey % 4 + 1) AS disc FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS released, CASE o_orderstatus WHEN 'F' THEN 'Japan' WHEN 'O' THEN 'Japan,Europe' ELSE '' END AS regions, '1/' || (o_custkey % 4 + 1) AS disc, 'TITLE ' || o_orderkey AS title, 'VMU,jump pack,microphone,other expansions,mouse,keyboard,light gun,VGA box' AS peripherals FROM orders")
 def header_fields(spark, sf):
     """Fixed-width headers, rendered and cut again."""
+    from ..sources import sheets as H
+
     o = read(spark, sf, "orders")
     area = F.when(F.col("o_orderstatus") == "F", "J  ").when(F.col("o_orderstatus") == "O", "J E").otherwise("  J")
-    head = F.concat(F.rpad(F.lit("HARDWARE"), 16, " "), F.rpad(F.concat(F.lit("9999 GD-ROM 1/"), (F.col("o_custkey") % 4 + 1).cast("string")), 32, " "), F.rpad(area, 8, " "), F.date_format("o_orderdate", "yyyyMMdd"))
-    field = lambda a, n: F.regexp_replace(F.substring(head, a, n), r"[\s\x00]+$", "")
-    return o.select("o_orderkey", S.release_date(field(57, 8)).alias("released"), F.array_join(S.regions(F.substring(head, 49, 8)), ",").alias("regions"), S.disc_number(field(17, 32)).alias("disc"))
+    head = F.concat(F.repeat(F.lit("x"), 16), F.rpad(F.lit("HARDWARE"), 32, " "), F.rpad(F.concat(F.lit("9999 GD-ROM 1/"), (F.col("o_custkey") % 4 + 1).cast("string")), 16, " "), F.rpad(area, 8, " "), F.rpad(F.lit("E000F10"), 24, " "), F.rpad(F.date_format("o_orderdate", "yyyyMMdd"), 48, " "), F.rpad(F.concat(F.lit("TITLE "), F.col("o_orderkey").cast("string")), 128, " "))
+    found = o.select("o_orderkey", *H.boot_header(head.cast("binary")))
+    return found.select("o_orderkey", F.col("release_date").alias("released"), F.array_join("regions", ",").alias("regions"), F.col("disc_no").alias("disc"), "title", F.array_join("peripherals", ",").alias("peripherals"))
 
 
-BITS = " || ".join(f"CASE WHEN (k >> {bit}) & 1 = 1 THEN ',{name}' ELSE '' END" for bit, name in S.PERIPHERALS)
+# Place, bit and name of each, stated here once more so that the check shares no list with what it checks.
+PERIPHERAL_SQL = """(VALUES (1, 12, 'controller'), (2, 13, 'C button'), (3, 14, 'D button'), (4, 15, 'X button'),
+  (5, 16, 'Y button'), (6, 17, 'Z button'), (7, 18, 'expanded directions'), (8, 19, 'analog R trigger'),
+  (9, 20, 'analog L trigger'), (10, 21, 'analog horizontal'), (11, 22, 'analog vertical'),
+  (12, 23, 'expanded analog horizontal'), (13, 24, 'expanded analog vertical'), (14, 11, 'VMU'),
+  (15, 9, 'jump pack'), (16, 10, 'microphone'), (17, 8, 'other expansions'), (18, 27, 'mouse'),
+  (19, 26, 'keyboard'), (20, 25, 'light gun'), (21, 4, 'VGA box'), (22, 0, 'Windows CE')) v(place, bit, name)"""
 
 
-@query(f"SELECT event_id, substr({BITS}, 2) AS names FROM (SELECT event_id, event_id * 7919 % 268435456 AS k FROM events)")
+@query(f"WITH e AS (SELECT event_id, event_id * 7919 % 268435456 AS k FROM events) SELECT event_id, coalesce(string_agg(name, ',' ORDER BY place), '') AS names FROM e LEFT JOIN {PERIPHERAL_SQL} ON (k >> bit) & 1 = 1 GROUP BY event_id")
 def peripheral_bits(spark, sf):
     """F19."""
     return read(spark, sf, "events").select("event_id", F.array_join(S.peripherals(F.lpad(F.hex(F.col("event_id") * 7919 % 268435456), 7, "0")), ",").alias("names"))
@@ -347,17 +335,6 @@ def output_format(spark, sf):
     return o.select("o_orderkey", S.output_format(flag, path).alias("fmt"))
 
 
-@query("WITH c AS (SELECT doc_id, hunk, CASE WHEN length(data) < 40 THEN 'none' WHEN hunk % 3 = 0 AND length(replace(data, ' ', '')) < length(data) - 9 THEN 'flac' ELSE 'deflate' END AS codec FROM h) SELECT codec, CAST(count(*) AS BIGINT) AS hunks FROM c GROUP BY codec".replace("WITH c", f"WITH {CUT}, c"))
-def codec_choice(spark, sf):
-    """Audio hunks try a second codec, which must be strictly smaller; small gains are stored raw."""
-    h = C.cut(read(spark, sf, "documents"), "doc_id", "text", 64)
-    raw = F.length("data")
-    deflate = F.when(raw < 40, raw).otherwise(raw - 9)
-    flac = F.when(F.col("hunk") % 3 == 0, F.length(F.replace("data", F.lit(" "), F.lit(""))))
-    best = F.when(F.least(deflate, F.coalesce(flac, deflate)) >= raw, "none").when((raw >= 40) & (flac < deflate), "flac").otherwise(F.when(raw < 40, "none").otherwise("deflate"))
-    return h.select(best.alias("codec")).groupBy("codec").agg(F.count("*").alias("hunks"))
-
-
 CRC = "list_reduce(list_prepend(65535, list_transform(range(1, 17), lambda i: ascii(substr(b, CAST(i AS BIGINT), 1)))), lambda a, x: list_reduce(list_prepend(xor(a, x << 8), range(8)), lambda c, k: CASE WHEN c & 32768 <> 0 THEN xor((c << 1) & 65535, 4129) ELSE (c << 1) & 65535 END))"
 
 
@@ -375,19 +352,23 @@ def crc_check(spark, sf):
     return o.filter(F.col("crc") != F.when(F.col("o_orderkey") % 10 == 0, 0).otherwise(F.col("crc"))).select("o_orderkey")
 
 
-@query(None)
-def report_json(spark, sf):
-    """A report a disc; empty fields are left out."""
-    t = laid(spark, sf)
-    track = F.struct("pos", F.col("pos").alias("number"), "type", "start_lba", "frames", F.nullif("pregap", F.lit(0)).alias("pregap"))
-    return t.groupBy("disc").agg(F.to_json(F.struct(F.lit("cue").alias("format"), F.bool_or("gdrom").alias("gdrom"), F.array_sort(F.collect_list(track)).alias("tracks"))).alias("json"))
+INFO = LAID + """, n AS (SELECT disc, pos, gdrom, frames, json_object('number', pos, 'type', type, 'lba', start_lba, 'frames', frames, 'bytes', frames * 2352, 'file', printf('track%02d.', pos) || CASE WHEN type = 'AUDIO' THEN 'raw' ELSE 'bin' END) AS track FROM laid)"""
 
 
-WHOLE |= {f.__name__: f for f in (hunk_slots_whole, promote_self_whole, self_width_whole)}
+@query(f"""WITH {INFO} SELECT disc, '{{"file":"' || disc || '.cue","format":"cue","gdrom":' || bool_or(gdrom) || ',"bytes":' || CAST(sum(frames) * 2352 AS BIGINT) || ',"tracks":[' || string_agg(track, ',' ORDER BY pos) || ']}}' AS json FROM n GROUP BY disc""")
+def report_json(spark, sf):
+    """The report of each disc, by the keys that consumers read; empty fields are left out."""
+    from .. import engine
+
+    t = L.with_bytes(laid(spark, sf)).withColumn("file", F.concat(F.lit("/x/"), S.track_file_name(F.col("pos"), F.col("type")))).withColumn("number", F.col("pos")).withColumn("disc", F.concat(F.lit("/x/"), "disc", F.lit(".cue")))
+    blank = {c: F.lit("") for c in ("title", "hardware_id", "maker_id", "maker", "product_no", "version", "release_date", "disc_no", "boot_file", "codec")}
+    none = F.array().cast("array<string>")
+    discs = t.groupBy("disc").agg(F.bool_or("gdrom").alias("gdrom"), F.sum("bytes").alias("bytes")).withColumns(blank | {"format": F.lit("cue"), "regions": none, "peripherals": none, "hunks": F.lit(0), "stored": F.lit(0)})
+    return engine.as_json(discs, t).select(F.regexp_extract("disc", r"(\d+)\.cue$", 1).cast("long").alias("disc"), "json")
 
 
 def queries() -> dict:
-    return QUERIES | WHOLE
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

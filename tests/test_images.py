@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 import lzma
 import math
 import os
 import random
+import zipfile
+from email.message import Message
 
 import numpy as np
 import pytest
 
-from orbitframe import engine
+from orbitframe import __main__ as commands
+from orbitframe import engine, progress, reports
 from orbitframe.functions import blocks as B
 from orbitframe.operators import images as I
 from orbitframe.operators import layout as L
@@ -136,7 +141,10 @@ def test_pinned_digests_and_there_and_back(spark, tmp_path, work):
         assert [(r["number"], r["type"], r["frames"], r["start_lba"]) for r in again] == [(1, "MODE1/2352", 4, 0), (2, "AUDIO", 8, 4), (3, "AUDIO", 8, 12)]
     discs, t = engine.describe(spark, str(tmp_path / "a.chd"), "chd")
     assert discs.first()["codec"] == "cdzl, cdfl" and discs.first()["hunks"] == 3 and not discs.first()["gdrom"]
-    assert '"layout"' in engine.as_json(discs, t).first()["json"]
+    report = json.loads(engine.as_json(discs, t).first()["json"])
+    assert {"file", "format", "gdrom", "codec", "hunks", "stored_bytes", "bytes", "tracks"} <= set(report) and "pregap" not in report
+    assert (report["file"], report["format"], report["codec"], report["hunks"], report["bytes"]) == ("a.chd", "chd", "cdzl, cdfl", 3, 20 * 2352)
+    assert report["tracks"][1] == {"number": 2, "type": "AUDIO", "lba": 4, "frames": 8, "bytes": 8 * 2352}
 
 
 def test_references_and_damage(spark, tmp_path, work):
@@ -234,8 +242,165 @@ def test_catalogue(spark, tmp_path):
     assert (row["titles"], row["known"]) == ([], 2)
     with pytest.raises(ValueError):
         engine.verify(spark, str(tmp_path), "gdi", dat)
-    with pytest.raises(ValueError):
-        K.read_catalogue(spark, write(tmp_path, "e.dat", "<datafile></datafile>"))
+    for nothing in ("<datafile></datafile>", f'<datafile><game name="One">{rom("x.cue", "ab" * 20)}</game></datafile>'):
+        with pytest.raises(ValueError):
+            K.read_catalogue(spark, write(tmp_path, "e.dat", nothing))
+    assert K.catalogue_version(spark, write(tmp_path, "f.dat", "<datafile><header><version>2026-01</version></header></datafile>")) == "2026-01"
+
+
+def zipped(name: str, text: str) -> bytes:
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("readme.txt", "x")
+        z.writestr(name, text)
+    return body.getvalue()
+
+
+def served(name: str | None, body: bytes = b"", asked: list | None = None) -> K.Opener:
+    """An opener of one download; no name: the address can't be asked."""
+
+    def opened(method, address):
+        if asked is not None:
+            asked.append(method)
+        if name is None:
+            raise OSError("no network")
+        head = Message()
+        head["Content-Disposition"] = f'attachment; filename="{name}"'
+        return head, b"" if method == "HEAD" else body
+
+    return opened
+
+
+def test_catalogue_is_fetched_once_a_build(tmp_path):
+    folder, asked = str(tmp_path / "cache"), []
+    with pytest.raises(OSError):
+        K.fetched("x", folder, served(None))
+    first = K.fetched("x", folder, served("A - B (1) (2026-06-14 18-25-41).zip", zipped("a.DAT", "one"), asked))
+    assert os.path.basename(first) == "A-B-1-2026-06-14-18-25-41.dat" and open(first).read() == "one"
+    assert K.fetched("x", folder, served("A - B (1) (2026-06-14 18-25-41).zip", b"", asked)) == first and asked == ["HEAD", "GET", "HEAD"]
+    assert K.fetched("x", folder, served(None)) == first
+    second = K.fetched("x", folder, served("new.zip", zipped("b.dat", "two")))
+    assert os.listdir(folder) == [os.path.basename(second)] and open(second).read() == "two"
+    for name, body in (("y.zip", b"no zip"), ("z.zip", zipped("c.txt", "three"))):
+        with pytest.raises(ValueError):
+            K.fetched("x", folder, served(name, body))
+    with pytest.raises(OSError):
+        K.fetched("x", str(tmp_path / "none"), served("", b""))
+
+
+def test_commands(spark, tmp_path, work, capsys, monkeypatch):
+    src, out = tmp_path / "src", tmp_path / "out.chd"
+    src.mkdir()
+    head = bytearray(b" " * 256)
+    head[0x80:0x87] = b"A TITLE"
+    data = (bytes(16) + bytes(head)).ljust(2352, b"\0") + varied(5, 1)
+    cue(src, [("MODE1/2352", data), ("AUDIO", varied(8, 2))])
+    assert commands.main(["--work", work, "convert", str(src), str(out)]) == 0
+    assert capsys.readouterr().out == f"Converting disc.cue\n  Written: {out} (2 tracks · 32.2 KiB)\n"
+    assert commands.main(["--json", "info", str(out)]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["name"] == "A TITLE" and found["stored_bytes"] == os.path.getsize(out)
+    assert commands.main(["info", str(out)]) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("out.chd\n  name    A TITLE\n  format  chd\n  layout  CD\n  codec   cdzl, cdfl\n") and "  #  TYPE        LBA  FRAMES  SIZE\n  1  MODE1/2352  0    6       13.8 KiB\n" in text
+    assert commands.main(["info", str(src / "disc.cue")]) == 0
+    assert "SIZE      FILE\n" in capsys.readouterr().out
+    sums = [hashlib.sha1(x).hexdigest() for x in (data, varied(8, 2))]
+    dat = "<datafile><header><version>v7</version></header>" + "".join(f'<game name="{n}"><rom name="1" sha1="{sums[0]}"/><rom name="2" sha1="{s}"/></game>' for n, s in (("Right", sums[1]), ("Wrong", "00"))) + "</datafile>"
+    monkeypatch.setattr(commands, "CACHE", str(tmp_path / "cache"))
+    assert commands.main(["--json", "--work", work, "verify", "--redump", str(out)], served("c.zip", zipped("c.dat", dat))) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["redump"] == {"dat_version": "v7", "titles": ["Right"], "tracks_known": 2} and set(found) == {"file", "hunks", "tracks", "logical_bytes", "raw_sha1", "combined_sha1", "redump"}
+    assert commands.main(["verify", "--dat", write(tmp_path, "w.dat", dat.replace("Right", "Other")), str(src)]) == 0
+    assert capsys.readouterr().out == "Verifying disc.cue\n  2 tracks, 32.2 KiB\n  redump         Other\n"
+    assert commands.main(["verify", "--dat", write(tmp_path, "x.dat", dat.replace(sums[1], "11")), str(out)]) == 0
+    assert "  redump         no match (1 of 2 tracks known)\n" in capsys.readouterr().out
+    assert commands.main(["--json", "--work", work, "convert", "--to", "gdi", str(out), str(tmp_path / "g")]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["format"], found["name"], found["tracks"]) == ("gdi", "A TITLE", 2) and open(tmp_path / "g" / "name.txt").read() == "A TITLE"
+    broken = bytearray(out.read_bytes())
+    broken[0x40] ^= 1
+    assert commands.main(["verify", write(tmp_path, "broken.chd", bytes(broken))]) == 1
+    assert "digest" in capsys.readouterr().err
+
+
+def test_reports_of_sizes():
+    assert [reports.size_text(n) for n in (0, 1023, 1024, 1 << 20, 3 << 30)] == ["0 B", "1023 B", "1.0 KiB", "1.0 MiB", "3.00 GiB"]
+    assert reports.stored_text(1 << 20, 4 << 20) == "1.0 MiB (25% of 4.0 MiB)" and reports.stored_text(0, 5) == "0 B"
+    assert reports.info_text({"file": "a.gdi", "gdrom": True, "format": "gdi", "bytes": 0, "tracks": []}) == "a.gdi\n  format  gdi\n  layout  GD-ROM, high-density area from LBA 45000\n  tracks  0 (0 B)\n\n  #  TYPE  LBA  FRAMES  SIZE\n"
+
+
+def test_progress_and_cancellation(spark):
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    out = Terminal()
+    with progress.step(spark, "Counting", out) as group:
+        spark.range(100).repartition(3).count()
+        assert progress.tasks_of(spark, group)[0] > 0
+    assert "Counting" in out.getvalue() and out.getvalue().endswith("tasks\n")
+    quiet = io.StringIO()
+    with progress.step(spark, "Counting", quiet):
+        spark.range(10).count()
+    assert quiet.getvalue() == ""
+
+    import threading
+
+    def slow(batches):
+        import time
+
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    with pytest.raises(BaseException) as stopped:
+        with progress.step(spark, "Waiting") as group:
+            threading.Timer(2, lambda: progress.cancel(spark, group, 10)).start()
+            spark.range(4).mapInArrow(slow, "id long").count()
+    assert "cancelled" in str(stopped.value).lower()
+
+
+def test_big_files_beside_a_sheet_are_not_read(spark, tmp_path):
+    cue(tmp_path, [("MODE1/2352", varied(4, 1))])
+    os.rename(tmp_path / "disc.cue", tmp_path / "disc.CuE")
+    for name in ("t2.bin", "other.iso"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(3 << 30)
+    sheets = H.read_sheets(spark, str(tmp_path), "cue")
+    assert [os.path.basename(r["path"]) for r in sheets.collect()] == ["disc.CuE"]
+    assert engine.layout(spark, str(tmp_path), "cue").count() == 1
+
+
+def test_track_sectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "STRETCH", 3)
+    cue(tmp_path, [("MODE1/2352", varied(7, 1) + b"tail"), ("AUDIO", varied(2, 2))])
+    rows = H.track_sectors(engine.layout(spark, str(tmp_path), "cue")).orderBy("pos", "sector").collect()
+    assert [(r["pos"], r["sector"]) for r in rows] == [*((1, i) for i in range(7)), (2, 0), (2, 1)]
+    assert b"".join(r["data"] for r in rows[:7]) == varied(7, 1)
+
+
+def test_one_archive_is_verified_by_many_tasks(spark, tmp_path, work, monkeypatch):
+    monkeypatch.setattr(A, "STRETCH", 2)
+    noise = random.Random(5).randbytes(8 * 2352 * 9)
+    path = str(tmp_path / "a.chd")
+    engine.convert(spark, cue(tmp_path, [("MODE1/2352", noise), ("AUDIO", varied(30, 4))]), path, work=work)
+    paths = A.listed(spark, path)
+    assert A.stretches(paths).count() == 7 and A.stretches(paths, 0, 1).select("hunk").first()["hunk"] == [0]
+    with progress.step(spark, "Decoding") as group:
+        I.decode_stretches(paths, work).write.format("noop").mode("overwrite").save()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) > 1
+    alone, many = I.verify(paths).first(), I.verify(paths, work).first()
+    assert alone == many and many["error"] is None and many["track_sha1"][0] == hashlib.sha1(noise).hexdigest()
+    data = bytearray(open(path, "rb").read())
+    m = A.hunk_map(paths).orderBy("hunk").collect()
+    for hunk in (5, 3):
+        data[m[hunk]["offset"] + 30] ^= 0xFF
+    write(tmp_path, "bad.chd", bytes(data))
+    found = I.verify(A.listed(spark, str(tmp_path / "bad.chd")), work).first()
+    assert "hunk 3" in found["error"] and found["raw_sha1"] is None
 
 
 def test_detect(tmp_path):

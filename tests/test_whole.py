@@ -2,7 +2,13 @@
 
 import collections
 import decimal
+import random
 
+from pyspark.sql import functions as F
+
+from orbitframe.functions import scalars as S
+from orbitframe.operators import chunks as C
+from orbitframe.operators import layout as L
 from orbitframe.plans import suite
 
 TEXTS = {1: "ab" * 200 + "é\n𝄞" + "ba" * 3, 2: "".join(chr(0x4E00 + i) for i in range(300)) + chr(0x4E00 + 290) * 2, 3: "x", 4: "", 5: None}
@@ -20,11 +26,16 @@ def references(text):
 def test_references_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {d: list(references(t or "")) for d, t in TEXTS.items()}
-    got = collections.Counter(map(tuple, suite.queries()["promote_self_whole"](spark, str(tmp_path)).collect()))
+    got = collections.Counter(tuple(r) for r in suite.letters(spark, str(tmp_path)).select("doc_id", "hunk", "self_hunk", "symbol").collect())
     assert got == collections.Counter((d, *r) for d, rows in want.items() for r in rows)
+    sums = {r.doc_id: tuple(r)[1:] for r in suite.queries()["promote_self"](spark, str(tmp_path)).collect()}
+    for d, rows in want.items():
+        if rows:
+            after = [h for h, _, s in rows if s == "SELF_1"]
+            assert sums[d] == (len(rows), sum(h for h, _, _ in rows), sum(t for _, t, _ in rows), sum(s == "SELF_0" for _, _, s in rows), len(after), sum(after) if after else None)
     widths = {d: max((t for _, t, s in rows if s == "SELF"), default=0).bit_length() for d, rows in want.items() if rows}
-    got = {r.doc_id: r.width for r in suite.queries()["self_width_whole"](spark, str(tmp_path)).collect()}
-    assert got == widths and widths[2] == 9  # target 290, past the first 64 characters
+    got = {r.doc_id: r.width for r in suite.queries()["self_width"](spark, str(tmp_path)).collect()}
+    assert got == widths and widths[2] == 9  # target 290, far into the text
 
 
 def test_slots_of_whole_tracks(spark, tmp_path):
@@ -37,4 +48,36 @@ def test_slots_of_whole_tracks(spark, tmp_path):
             total = -(-n // 4) * 4
             want.update((disc, pos, f, (at + f) // 8, (at + f) % 8, f >= n) for f in range(total))
             at += total
-    assert collections.Counter(map(tuple, suite.queries()["hunk_slots_whole"](spark, str(tmp_path)).collect())) == want
+    slots = L.hunk_slots(suite.plain(spark, str(tmp_path)))
+    assert collections.Counter(map(tuple, slots.collect())) == want
+    got = {(r.disc, r.pos): (r.rows, r.hunk_sum, r.padding) for r in suite.queries()["hunk_slots"](spark, str(tmp_path)).collect()}
+    for key in got:
+        own = [x for x in want if x[:2] == key]
+        assert got[key] == (len(own), sum(x[3] for x in own), sum(x[5] for x in own))
+
+
+def test_candidates_by_classes(spark):
+    rng = random.Random(1)
+    probe = [(k, rng.choice("abcdef")) for k in range(200) for _ in range(rng.randrange(1, 4))] + [(999, None)]
+    titles = [(t, rng.choice("abcde")) for t in range(60) for _ in range(rng.randrange(1, 6))] + [(61, None)]
+    got = {r.key: (r.titles, r.first_title) for r in C.candidates(spark.createDataFrame(probe, "key int, item string"), spark.createDataFrame(titles, "title int, item string"), "key", "title", "item").collect()}
+    held, asked = collections.defaultdict(set), collections.defaultdict(set)
+    for t, x in titles:
+        held[t].add(x)
+    for k, x in probe:
+        asked[k].add(x)
+    want = {k: sorted(t for t, y in held.items() if x <= y) for k, x in asked.items() if None not in x}
+    assert got == {k: (len(t), t[0]) for k, t in want.items() if t}
+
+
+def test_match_keeps_missing_digests(spark):
+    probe = spark.createDataFrame([(1, "aa"), (1, "bb")], "disc int, sha1 string")
+    files = [("whole", "aa"), ("whole", "bb"), ("one more", "aa"), ("one more", "bb"), ("one more", None), ("twice", "aa"), ("twice", "aa"), ("twice", "bb")]
+    got = C.match_sets(probe, spark.createDataFrame(files, "title string, sha1 string"), "disc", "title", "sha1")
+    assert [r.title for r in got.collect()] == ["whole"]
+
+
+def test_peripherals(spark):
+    cases = {"        ": None, "0000000 ": [], "0000011 ": ["VGA box", "Windows CE"], "0000F00 ": ["VMU", "jump pack", "microphone", "other expansions"], "007F000 ": ["controller", "C button", "D button", "X button", "Y button", "Z button", "expanded directions"], "E000000 ": ["mouse", "keyboard", "light gun"], "1FFFFFFFF": None}
+    df = spark.createDataFrame([(k,) for k in cases], "d string").select("d", S.peripherals(F.btrim("d")).alias("names"))
+    assert {r.d: r.names for r in df.collect()} == cases
