@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import workers
 from .chunked import WordIds
 
 NONE = 1 << 62
@@ -97,26 +98,21 @@ class Bpe:
             self.bytes_of[i] = token
         find, ranks, kind = regex.compile(pattern).findall, self.ranks, self.dtype
 
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array([i for piece in find(w) for i in merge_piece(piece.encode("utf-8", "surrogatepass"), ranks)], kind).tobytes() for w in words]
+        def encode(words: list[str], lead: str) -> list[bytes]:
+            return [np.array([i for piece in find(lead + w) for i in merge_piece(piece.encode("utf-8", "surrogatepass"), ranks)], kind).tobytes() for w in words]
 
-        self.words = WordIds(encode, blank=True)
+        self.words = WordIds(encode, kind.str, blank=True, most=600_000)
 
-    def encode_batch(self, texts) -> Iterator[np.ndarray]:
-        for packed in self.words(texts):
-            yield np.frombuffer(packed, self.dtype)
+    def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for ids, number in self.words(texts):
+            yield from np.split(ids, np.cumsum(number)[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-_KEPT: dict[tuple[str, str], Bpe] = {}
-
-
 def worker_bpe(path: str, pattern: str) -> Bpe:
-    if (path, pattern) not in _KEPT:
-        _KEPT[path, pattern] = Bpe(path, pattern)
-    return _KEPT[path, pattern]
+    return workers.kept((path, pattern), lambda: Bpe(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,7 +123,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = list(bpe.encode_batch(part.column(1).to_pylist()))
+                ids = list(bpe.encode_batch(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
@@ -143,11 +139,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id"
         bpe = worker_bpe(path, pattern)
         for batch in batches:
             n, a, b = [], [], []
-            for at in range(0, batch.num_rows, 512):
-                for ids in bpe.encode_batch(batch.column(1).slice(at, 512).to_pylist()):
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for ids in bpe.encode_batch(batch.column(1)):
+                n.append(len(ids))
+                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, text).mapInArrow(work, f"{_key_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import workers
+
 #: Unicode's White_Space, which is \s of the tokenizers' patterns (Python's own \s has more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space as the byte-level patterns split it.
@@ -179,6 +181,7 @@ class WordIds:
         for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
             for part in slices(chunk):
                 yield self._slice(part)
+            pa.default_memory_pool().release_unused()
 
 
 def with_end(ids: np.ndarray, number: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,21 +230,16 @@ def library_words(path: str, blank: bool) -> WordIds:
 
     # Without led words there is one table, so it may hold more.
     literals = tuple(x.content for x in plain.get_added_tokens_decoder().values())
-    words = WordIds(encode, kind, blank, fold=not blank, most=800_000 if blank else 1_000_000, literals=literals, whole=lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, kind).tobytes())
+    words = WordIds(encode, kind, blank, fold=not blank, most=600_000 if blank else 800_000, literals=literals, whole=lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, kind).tobytes())
     words.tokenizer = plain
     return words
 
 
-_KEPT: dict[tuple, WordIds] = {}
-
-
 def worker_words(path: str, blank: bool) -> WordIds:
-    """The same table for all tasks of a Python worker."""
+    """The same table for all tasks of a Python worker, until another operator's take its place."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, blank) not in _KEPT:
-        # Words are no garbage: looking for some in the table, again and again, took an eighth of the time.
-        gc.set_threshold(200_000, 20, 1000)
-        _KEPT[path, blank] = library_words(path, blank)
-    return _KEPT[path, blank]
+    # Words are no garbage: looking for some in the table, again and again, took an eighth of the time.
+    gc.set_threshold(200_000, 20, 1000)
+    return workers.kept((path, blank), lambda: library_words(path, blank))

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import workers
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -114,14 +116,15 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str =
     """Train on labelled rows that are not held out."""
     known = labels.filter(labels[key].isNotNull() & labels[label].isNotNull() & ~held_out(labels[key])).groupBy(labels[key].alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(s.sample)
-    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")
+    # One text of each id, so that what reaches the driver is bounded by the sample whatever the ids are.
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("y").alias("y"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_features(t, s) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<f4").tobytes() for _, b in found], pa.binary())], ["k", "y", "f", "w"])
 
-    got = rows.select(rows["k"].cast("long").alias("k"), "t", "y").mapInArrow(work, "k long, y int, f binary, w binary").collect()
+    got = rows.select(F.col("k").cast("long").alias("k"), "t", "y").mapInArrow(work, "k long, y int, f binary, w binary").collect()
     got.sort(key=lambda r: (r.k, bytes(r.f), bytes(r.w)))
     return train([(np.frombuffer(r.f, np.int32), np.frombuffer(r.w, "<f4").astype(np.float64)) for r in got], np.array([r.y for r in got], np.int64), s)
 
@@ -156,6 +159,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])

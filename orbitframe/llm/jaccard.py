@@ -19,7 +19,8 @@ long lists block by block within a task. So a group of m copies that link costs
 links, and no link between components is lost.
 
 A shingle is a 64-bit hash; lists and overlaps use its upper 40 + log2(ranges) bits. A range keeps
-its lists packed, about four bytes for each set that holds a shingle.
+its lists packed, about four bytes for each set that holds a shingle, but a shingle that many sets of
+a chunk hold is one entry for the chunk, whose sets never leave it.
 
 Defined cases: null and empty texts have the empty set and link with nothing; repeated rows are one
 class; doc_id may be null (the least id of a component ignores nulls); an empty table gives no
@@ -38,12 +39,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import graph, scratch
+from . import graph, scratch, workers
 
 WORDS = 5
 PERCENT = 75
 #: Shingles and documents that a task packs at a time; shingles of a range, about.
 CHUNK, CHUNK_DOCS, RANGE = 2_000_000, 60_000, 500_000
+#: Sets of a chunk that make a shingle a common one; what stands for all of them.
+COMMON, EVERY = 512, 0xFFFF
 #: Bits of a hash beyond its range's; ranges are at most 2 ** MOST_BITS.
 BITS, MOST_BITS = 40, 24
 #: Largest set size tried as boundary.
@@ -136,10 +139,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _NAMES)
 
 
-def _pack_lists(bits: int):
-    """Documents -> packed lists by range of hash, and a row (range -1) of the chunk's documents."""
+def _pack_lists(bits: int, many: int):
+    """Documents -> packed lists by range of hash, a row (range -1) of the chunk's documents, and one (-2) of its common shingles.
+
+    A shingle that ``many`` sets of a chunk hold goes to its range as one entry that says how many;
+    its sets stay with the chunk. So no range's task holds a common shingle's list, whatever the input.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         shingler = Shingler()
         src = TaskContext.get().partitionId() << 24
         ids, texts, sets, classes, first, size = [], [], [], [], {}, 0
@@ -152,15 +160,26 @@ def _pack_lists(bits: int):
             tokens = np.concatenate([sets[i] for i in own])
             docs = np.repeat(np.array(own, np.uint16), lengths[own])
             order = np.argsort(tokens, kind="stable")
-            tokens, docs = tokens[order], docs[order]
-            short = (tokens >> np.uint64(64 - BITS - bits)) & np.uint64((1 << BITS) - 1)
-            ranges = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-            cuts = np.searchsorted(ranges, np.arange((1 << bits) + 1))
+            tokens, docs = tokens[order] >> np.uint64(64 - BITS - bits), docs[order]
+            starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+            times = np.diff(np.append(starts, len(tokens)))
+            common = np.repeat(times >= many, times)
             rows = []
+            if common.any():
+                part = tokens[common]
+                rows.append((-2, src, len(part), _packed(np.diff(part, prepend=np.uint64(0)).astype("<u8"), docs[common].astype("<u2"))))
+                stays = ~common
+                stays[starts] = True
+                docs[starts[times >= many]] = EVERY
+                times = np.where(docs[stays] == EVERY, np.repeat(times, times)[stays], 1)
+                tokens, docs = tokens[stays], docs[stays]
+            else:
+                times = np.ones(len(tokens), np.int64)
+            cuts = np.searchsorted(tokens >> np.uint64(BITS), np.arange((1 << bits) + 1))
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[r], cuts[r + 1]
-                part = short[a:b]
-                rows.append((r, src, int(b - a), _packed(np.diff(part, prepend=np.uint64(0)).astype("<u8"), docs[a:b].astype("<u2"))))
+                part = tokens[a:b] & np.uint64((1 << BITS) - 1)
+                rows.append((r, src, int(b - a), _packed(np.diff(part, prepend=np.uint64(0)).astype("<u8"), docs[a:b].astype("<u2"), times[a:b].astype("<u2"))))
             flags = np.zeros(len(ids), np.uint8)
             flags[own] = 1
             known = np.array([x if x is not None else 0 for x in ids], "<i8")
@@ -205,18 +224,25 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int | tuple[int, ...]) -> It
         yield now, held
 
 
-def _list(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    step, docs = _unpacked(blob, n, "<u8", "<u2")
-    return np.cumsum(step, dtype=np.uint64), docs
+def _list(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    step, docs, times = _unpacked(blob, n, "<u8", "<u2", "<u2")
+    return np.cumsum(step, dtype=np.uint64), docs, times
 
 
 def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed lists of a range -> for each chunk, its shingles that occur in two sets or more."""
-    for r, rows in _groups(batches, 0):
-        if r < 0:
-            for row in rows:
-                yield _rows([row])
-            continue
+
+    def of_ranges() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column(0).to_numpy() < 0
+            if mine.any():
+                passed.append(batch.filter(pa.array(mine)))  # rows of chunks pass through
+            yield batch.filter(pa.array(~mine))
+
+    passed: list[pa.RecordBatch] = []
+    for r, rows in _groups(of_ranges(), 0):
+        yield from passed
+        passed.clear()
         tokens, counts, waiting, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def merge():
@@ -228,9 +254,10 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, pending = [], 0
 
         for _, _, n, blob in rows:
-            found = np.unique(_list(blob, n)[0], return_counts=True)
-            waiting.append(found)
-            pending += len(found[0])
+            token, _, times = _list(blob, n)
+            starts = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            waiting.append((token[starts], np.add.reduceat(times.astype(np.int64), starts)))
+            pending += len(starts)
             if pending > 4_000_000:
                 merge()
         merge()
@@ -238,11 +265,12 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(tokens):
             continue
         for _, src, n, blob in rows:
-            token, docs = _list(blob, n)
+            token, docs, _ = _list(blob, n)
             at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
             keep = np.flatnonzero(tokens[at] == token)
             if len(keep):
                 yield _rows([(r, src, len(keep), _packed(np.diff(token[keep], prepend=np.uint64(0)).astype("<u8"), docs[keep], np.minimum(counts[at[keep]], 0xFFFF).astype("<u2")))])
+    yield from passed
 
 
 SETS = "doc_id long, text_hash long, n int, cls long, own boolean, cost_light long, cost_heavy long, prefix binary, shared binary, n_shared int"
@@ -253,12 +281,19 @@ def _collect_sets(bits: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, rows in _groups(batches, 1):
-            own = next(r for r in rows if r[0] < 0)
+            own = next(r for r in rows if r[0] == -1)
             ids, null, size, cls, flags, texts = _unpacked(own[3], own[2], "<i8", "u1", "<i4", "<i8", "u1", "<i8")
             lists = [(r, *_unpacked(blob, n, "<u8", "<u2", "<u2")) for r, _, n, blob in rows if r >= 0]
             token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t, dtype=np.uint64) | np.uint64(r << BITS) for r, t, _, _ in lists)])
             doc = np.concatenate([np.zeros(0, np.uint16), *(d for _, _, d, _ in lists)])
             count = np.concatenate([np.zeros(0, np.uint16), *(c for *_, c in lists)])
+            if rows[0][0] == -2:  # common shingles: their sets are the chunk's own
+                step, held = _unpacked(rows[0][3], rows[0][2], "<u8", "<u2")
+                name, common = np.cumsum(step, dtype=np.uint64), np.flatnonzero(doc == EVERY)
+                common = common[np.argsort(token[common])]
+                found = count[common][np.searchsorted(token[common], name)]
+                rest = doc != EVERY
+                token, doc, count = np.concatenate([token[rest], name]), np.concatenate([doc[rest], held]), np.concatenate([count[rest], found])
             order = np.lexsort((token, count, doc))
             token, doc, count = token[order], doc[order], count[order].astype(np.int64)
             cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -447,7 +482,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     bits = max(4, min(MOST_BITS, (max(1, size // 6 // RANGE)).bit_length()))
-    lists = docs.select(docs[key].cast("long"), docs[text], F.xxhash64(docs[text])).mapInArrow(_pack_lists(bits), ROW)
+    lists = docs.select(docs[key].cast("long"), docs[text], F.xxhash64(docs[text])).mapInArrow(_pack_lists(bits, COMMON), ROW)
     spread = F.when(F.col("range") < 0, F.col("src")).otherwise(F.col("range"))
     counted = lists.repartition(spread).sortWithinPartitions("range", "src").mapInArrow(_count_lists, ROW)
     # Equal sets: one class; node is its hash, ties with the size.
@@ -526,17 +561,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = classes(own, key, text)
     some = found.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    stays = some.groupBy("comp").agg(F.min(order).alias("s"), F.count("*").alias("m")).select("s.id", "s.hash", F.lit(True).alias("worded"))
-    stays = stays.union(found.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(False)).distinct())
-    # Written, so that a join with few of them is planned as one.
-    stays, _ = scratch.written(stays, "stays")
-    rows = own.withColumn("at_hash", F.xxhash64(text)).join(stays, F.col(key).cast("long").eqNullSafe(F.col("id")) & (F.col("at_hash") == F.col("hash")))
+    stays = some.groupBy("comp").agg(F.min(order).alias("s"), F.count("*").alias("m")).filter("m > 1").select("comp", "s.id", "s.hash")
+    # What goes is written, so that a join with little of it is planned as one that leaves the documents where they are.
+    others = some.join(stays, "comp").filter(~(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))))
+    gone, _ = scratch.written(others.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "gone")
+    rows = own.withColumn("hash", F.xxhash64(text)).withColumn("id", F.col(key).cast("long"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("hash") == F.col("g_hash")), "left_anti")
     names = [f"in_{i}" for i in range(len(docs.columns))]
     # Rows whose id and text both recur are rare: only these are grouped.
     twice = some.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"))
     twice, _ = scratch.written(twice, "twice")
     if twice.limit(1).count():
-        same = F.col("worded") & F.col("id").eqNullSafe(F.col("t_id")) & (F.col("hash") == F.col("t_hash"))
+        same = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("hash") == F.col("t_hash"))
         again = rows.join(twice, same, "left_semi").groupBy("id", "hash").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
         rows = rows.join(twice, same, "left_anti").select(*names).union(again)
     return rows.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

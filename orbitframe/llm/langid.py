@@ -3,7 +3,8 @@
 The posterior of a row's language is the product of
  - its text's likelihood under trigram models of the languages (trained here on at most
    ``per_language`` rows of each language, chosen by hash; the rows' labels are ``lang``),
-   tempered to at most ``evidence`` trigrams since those are not independent;
+   tempered since trigrams are not independent: beyond ``evidence`` of them their weight grows by
+   the root of their number;
  - the likelihood of the declared language, from a table of declared against found languages;
  - a prior for its host, smoothed towards its address suffix, and that towards all rows.
 Tables and priors are sums of the texts' own posteriors by grouped aggregation over all rows; a
@@ -12,6 +13,10 @@ trigrams are equally likely: text of no known language. A trigram that a languag
 with has the same probability in all languages, however much text each has, and ``und`` is set
 relative to it. A row is rejected if ``und`` is likeliest.
 
+Every language that ``lang`` names is modelled; a column with more than ``most_languages`` values is
+no column of languages, and an error. A host that many rows share is one row of the priors; the join
+with it is broadcast or, beyond Spark's own limit for that, split where it is skewed.
+
 Defined cases: null, empty and letterless texts carry no text evidence, so the rest decides; a null
 or unknown declaration, host or suffix is a value of its own; rows may repeat (a row each); an empty
 table gives no rows; ``keep_known`` returns all columns it was given.
@@ -19,6 +24,7 @@ table gives no rows; ``keep_known`` returns all columns it was given.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections.abc import Iterator
@@ -28,17 +34,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import scratch
+from . import scratch, workers
 
 #: Words of letters alone, so that keys and numbers are no evidence.
 LETTERS = re.compile(r"\b[^\W\d_]+\b")
-OTHER = "und"
+OTHER, GONE = "und", "gone"
 
 
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 300
-    most_languages: int = 200
+    most_languages: int = 10_000
     evidence: float = 40.0
     #: Log-probability of a trigram unseen in a language, the same for all, and what ``und`` has above it.
     unseen: float = -13.0
@@ -64,13 +70,13 @@ def trigrams(word: str) -> list[str]:
 
 def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> TextModel:
     rows = docs.select(F.lower(docs[lang]).alias("lang"), docs[text].alias("text"), docs[key].alias("k")).filter("lang is not null and text is not null and text <> ''")
-    languages = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.most_languages).collect()]
-    counts = rows.groupBy("lang").count().filter(F.col("lang").isin(languages)).collect()
-    share = {r.lang: min(1.0, 1.5 * s.per_language / r["count"]) for r in counts}
-    cut = F.lit(0.0)
-    for k, v in share.items():
-        cut = F.when(F.col("lang") == k, v).otherwise(cut)
-    sample = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < cut * (1 << 20))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(s.most_languages + 1).collect()
+    if len(counts) > s.most_languages:
+        raise ValueError(f"more than {s.most_languages} values of {lang}: no column of languages")
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * s.per_language / r.n)) for r in counts], "lang string, share double")
+    languages = [r.lang for r in counts]
+    # The text's hash beside the id spreads rows that share an id, or have none.
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("k", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], int] = {}
@@ -95,10 +101,12 @@ def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: st
 
 
 class Scorer:
+    #: Words kept before the table starts anew, at most.
     MOST = 200_000
 
     def __init__(self, model: TextModel):
         self.model, self.rows, self.vectors, self.used = model, {}, np.zeros((1024, len(model.languages) + 1)), 0
+        self.most = min(self.MOST, 20_000_000 // (len(model.languages) + 1))
 
     def __call__(self, text: str | None) -> list[float]:
         """Tempered log-likelihood of the text by language."""
@@ -106,7 +114,7 @@ class Scorer:
         n = len(self.model.languages)
         if not words:
             return [0.0] * n
-        if self.used > self.MOST:
+        if self.used > self.most:
             self.rows, self.used = {}, 0
         for w in set(words).difference(self.rows):
             if self.used == len(self.vectors):
@@ -117,17 +125,19 @@ class Scorer:
             self.rows[w] = self.used
             self.used += 1
         total = self.vectors[list(map(self.rows.__getitem__, words))].sum(0)
-        return (total[:n] * (min(total[n], self.model.settings.evidence) / total[n])).tolist()
+        grams, evidence = total[n], self.model.settings.evidence
+        return (total[:n] * (min(grams, math.sqrt(grams * evidence)) / grams)).tolist()
 
 
-def likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows (key, host, suffix, declared, text) with ``ll``, an array by language, for the text."""
+def likelihoods(rows: DataFrame, model: TextModel, entities: bool = False) -> DataFrame:
+    """rows (key, host, suffix, declared, text) with ``ll``, an array by language, for the text; entities: those of HTML count as their characters."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         scorer = Scorer(shared.value)
         for batch in batches:
-            ll = [scorer(t.as_py()) for t in batch.column(4)]
+            ll = [scorer(t if t is None or "&" not in t else html.unescape(t)) if entities else scorer(t) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ll, pa.list_(pa.float64()))], ["key", "host", "suffix", "declared", "ll"])
 
     kind = rows.schema["key"].dataType.simpleString()
@@ -173,19 +183,19 @@ def fuse(found: DataFrame, languages: list[str], s: Settings = Settings()) -> Da
 
 def from_pages(pages: DataFrame) -> DataFrame:
     """key, host, suffix, declared, text of web pages (page_id, url, html)."""
-    html, url = F.coalesce(F.col("html"), F.lit("")), F.lower(F.coalesce(F.col("url"), F.lit("")))
-    host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/:?#]+)", 1)
+    page, url = F.coalesce(F.col("html"), F.lit("")), F.lower(F.coalesce(F.col("url"), F.lit("")))
+    host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]+)", 1)
     return pages.select(
         F.col("page_id").alias("key"), host.alias("host"), F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1).alias("suffix"),
-        F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1)).alias("declared"),
-        F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ").alias("text"),
+        F.lower(F.regexp_extract(page, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1)).alias("declared"),
+        F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ").alias("text"),
     )
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """page_id, host, declared, text_lang, lang, posterior, kept for every page."""
     model = fit(docs, s)
-    found, _ = scratch.written(likelihoods(from_pages(pages), model), "likelihoods")
+    found, _ = scratch.written(likelihoods(from_pages(pages), model, entities=True), "likelihoods")
     out = fuse(found, model.languages, s)
     return out.select(F.col("key").alias("page_id"), "host", "declared", "text_lang", "lang", "posterior", (F.col("lang") != OTHER).alias("kept"))
 
@@ -201,8 +211,11 @@ def keep_known(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(x).cast("string") for x in ("doc_id", "lang", "source", "text"))]
     digest = F.sha1(F.concat(*parts))
     rows = docs.select(digest.alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
-    found, _ = scratch.written(likelihoods(rows, model), "likelihoods")
-    decided, _ = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
+    found, found_at = scratch.written(likelihoods(rows, model), "likelihoods")
+    decided, decided_at = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
     # Written, so that a join with few of them is planned as one: the documents are not shuffled.
-    gone, _ = scratch.written(decided.filter(F.col("lang") == OTHER).select(F.col("key").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, digest == F.col("_gone"), "left_anti")
+    gone, _ = scratch.written(decided.filter(F.col("lang") == OTHER).select(F.col("key").alias(GONE)).distinct(), "gone")
+    scratch.drop(docs.sparkSession, found_at, decided_at)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)), digest.alias("digest"))
+    kept = own.join(gone, F.col("digest") == F.col(GONE), "left_anti")
+    return kept.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -10,7 +10,7 @@ doc_id is packed by itself, in runs of RUN ids and a slice of texts at most, whi
 window for a run.
 
 Defined cases: a null text counts as empty (only the end id); null doc_ids come first; rows that
-share a doc_id stay apart, in order of their text; an empty table gives no rows; other columns are
+share a doc_id stay apart, in order of their text's hash; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .chunked import with_end, worker_words
 
@@ -192,5 +192,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024
         if keys:
             yield flush()
 
-    dealt = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash parts rows that share an id, or have none, among tasks too.
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return dealt.mapInArrow(work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

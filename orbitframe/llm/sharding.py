@@ -40,10 +40,9 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     spark = docs.sparkSession
     body = F.coalesce(docs[text], F.lit(""))
     rows, _ = scratch.written(
-        docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("group")),
+        docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("group"), F.monotonically_increasing_id().alias("row")),
         "sizes",
     )
-    rows = rows.withColumn("group", F.col("group"))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bundles = shards * FINE
     least = max(1, -(-total // bundles))
@@ -56,9 +55,9 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     parts = spark.createDataFrame([(k, v) for k, v in plan.items() if k[0] != "g"], "item string, part int")
     placed = rows.join(F.broadcast(whole), "group", "left").withColumn("item", F.when(F.col("whole").isNull(), bundle)).join(F.broadcast(parts), "item", "left").withColumn("shard", F.coalesce("whole", "part")).drop("whole", "part", "item")
     chunks = max(1, n // SLOT_CHUNK // shards + 1)
-    # The digest beside doc_id spreads a shard's rows over chunks whatever the ids are.
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(8, chunks))))
+    # By the number that a row was written with, so that chunks are even whatever ids and texts are.
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(max(8, chunks))))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")) - 1)
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row")) - 1)
     return numbered.join(sizes, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -12,7 +12,7 @@ Pages are the BINARY column of a Parquet table (the container that every store r
 in a 256 x 4 table and ranks in the vocabulary's table; no loop over ids.
 
 Defined cases: a null text counts as empty (only the end id); null doc_ids come first; rows that
-share a doc_id stay apart, ordered by their ids; an empty table gives no pages; other columns are
+share a doc_id stay apart, ordered by a hash of their ids; an empty table gives no pages; other columns are
 ignored.
 """
 
@@ -159,7 +159,8 @@ def write_pages(ids: DataFrame, rank_of: np.ndarray, dtype: str) -> tuple[DataFr
         if keys:
             yield close()
 
-    dealt = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The ids' hash parts rows that share a doc_id, or have none, among tasks too.
+    dealt = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
     return scratch.written(dealt.mapInArrow(work, "part int, page long, first_doc long, n_ids long, body binary"), "pages", "none")
 
 

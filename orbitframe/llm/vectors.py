@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import graph, scratch
+from . import graph, scratch, workers
 
 
 @dataclass(frozen=True)
@@ -168,6 +168,7 @@ def _matrix(column) -> np.ndarray:
 
 def _build(s: Settings):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for t in _groups(batches):
             node = t.column(1).to_numpy()
             lists = build_graph(_matrix(t.column(2)).astype(np.float32), s)
