@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = scratch.written(stage(spark, docs, sf_dir), name)
+        mark = scratch.mark()
+        docs, at = scratch.written(stage(spark, docs, sf_dir), name)
+        # What the stage wrote for itself goes, and the stage before it.
+        scratch.drop_since(spark, mark, at)
+        scratch.drop(spark, *before)
+        before = [at]
     return STAGES[-1][1](spark, docs, sf_dir)
