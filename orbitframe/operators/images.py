@@ -293,7 +293,8 @@ def archive_spans(paths: DataFrame) -> DataFrame:
 
 
 def put(folder: str, name: str, at: int, data: bytes) -> None:
-    """Bytes at their place of a file; writing them again changes nothing."""
+    """Bytes at their place of a file, in a folder that is made if need be; writing them again changes nothing."""
+    os.makedirs(folder, exist_ok=True)
     fd = os.open(os.path.join(folder, name), os.O_CREAT | os.O_WRONLY, 0o644)
     try:
         os.pwrite(fd, data, at)

@@ -58,7 +58,6 @@ def sheets(spark: SparkSession, sf: str, folder: str) -> None:
         for batch in batches:
             for row in batch.to_pylist():
                 own = os.path.join(folder, str(row["disc"]))
-                os.makedirs(own, exist_ok=True)
                 for f in row["files"]:
                     I.put(own, f["name"], 0, f["sector"].encode() * f["frames"])
                 I.put(own, "disc.cue", 0, row["text"].encode())
@@ -150,8 +149,6 @@ def archive_extract(spark, sf):
     place = F.struct(S.track_file_name(F.col("number"), F.col("type")).alias("name"), "span_start", "span_end", S.is_audio(F.col("type")).alias("audio"))
     spans = numbered(I.archive_spans(paths).withColumnRenamed("disc", "path")).withColumn("folder", F.concat(F.lit(out + "/"), F.col("disc").cast("string")))
     places = spans.groupBy(F.col("path").alias("disc"), "folder").agg(F.collect_list(place).alias("spans"))
-    for row in places.select("folder").toLocalIterator():
-        os.makedirs(row["folder"], exist_ok=True)
     I.extract(A.hunks(paths), places)
     files = spans.select("disc", F.concat_ws("/", "folder", S.track_file_name(F.col("number"), F.col("type"))).alias("file"))
     return files.join(I.file_sha1(files), "file").select("disc", engine.base_name(F.col("file")).alias("name"), "sha1")
@@ -205,6 +202,17 @@ def sheet_verify(spark, sf):
     return numbered(found.withColumnRenamed("disc", "path")).select("disc", "tracks", "known", F.array_join("titles", ",").alias("titles"))
 
 
+@query(f"WITH {DISCS} SELECT disc, {NAME} AS name, sha1(repeat(sector, CAST(frames AS BIGINT))) AS sha1, CAST(frames * 2352 AS BIGINT) AS size FROM t")
+def track_copy(spark, sf):
+    """K6: the track files of all sheets copied in pieces, under their names in a new set."""
+    out = I.work_folder(spark, I.shared_folder(spark))
+    t = H.sized(engine.layout(spark, collection(spark, sf) + "/sheets", "cue"))
+    t = numbered(t.withColumnRenamed("disc", "path")).withColumn("folder", F.concat(F.lit(out + "/"), F.col("disc").cast("string"))).withColumn("name", S.track_file_name(F.col("number"), F.col("type")))
+    I.copy_tracks(t)
+    copies = H.sized(t.select("disc", "name", F.concat_ws("/", "folder", "name").alias("file")))
+    return copies.join(I.file_sha1(copies), "file").select("disc", "name", "sha1", "size")
+
+
 PLANNED = LAID + """, p AS (SELECT *, CASE WHEN gdrom THEN pregap ELSE 0 END AS own, max(CASE WHEN gdrom THEN 2 ELSE 0 END) OVER (PARTITION BY disc) AS bridge FROM laid),
   q AS (SELECT disc, pos, frames + pregap - CASE WHEN pos > 1 THEN own ELSE 0 END AS frames, CAST(lead(own, 1, 0) OVER (PARTITION BY disc ORDER BY pos) AS BIGINT) AS tail, bridge, type FROM p),
   r AS (SELECT *, 45000 - coalesce(sum((frames + tail + 3) // 4 * 4) OVER (PARTITION BY disc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS need FROM q),

@@ -264,7 +264,7 @@ def header_fields(spark, sf):
     o = read(spark, sf, "orders")
     area = F.when(F.col("o_orderstatus") == "F", "J  ").when(F.col("o_orderstatus") == "O", "J E").otherwise("  J")
     head = F.concat(F.repeat(F.lit("x"), 16), F.rpad(F.lit("HARDWARE"), 32, " "), F.rpad(F.concat(F.lit("9999 GD-ROM 1/"), (F.col("o_custkey") % 4 + 1).cast("string")), 16, " "), F.rpad(area, 8, " "), F.rpad(F.lit("E000F10"), 24, " "), F.rpad(F.date_format("o_orderdate", "yyyyMMdd"), 48, " "), F.rpad(F.concat(F.lit("TITLE "), F.col("o_orderkey").cast("string")), 128, " "))
-    found = o.select("o_orderkey", *H.boot_header(head.cast("binary")))
+    found = o.select("o_orderkey", head.cast("binary").alias("sector")).select("o_orderkey", *H.boot_header(F.col("sector")))
     return found.select("o_orderkey", F.col("release_date").alias("released"), F.array_join("regions", ",").alias("regions"), F.col("disc_no").alias("disc"), "title", F.array_join("peripherals", ",").alias("peripherals"))
 
 
