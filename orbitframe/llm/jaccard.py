@@ -55,8 +55,6 @@ MOST_LIGHT = 48
 BLOCK = 512
 #: Turns in which each set that stands apart is checked against one leader; members that a leader's copy serves.
 TURNS, SALTED = 3, 1024
-#: Lists that stand apart are broadcast up to this number (16 bytes each), and joined by shuffle beyond.
-BROADCAST = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -465,10 +463,8 @@ def _standing_apart(lists: DataFrame) -> DataFrame:
     Places beyond what the list's smallest set needs are left out.
     """
     mixed, _ = scratch.written(lists.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.count("*").alias("m")).filter("c1 <> c2").select("key", "low", "m"), "mixed")
-    if mixed.count() <= BROADCAST:
-        mixed = F.broadcast(mixed)
     smallest = F.greatest("low", F.ceil(F.col("n") * (PERCENT / 100) - 1e-9))
-    return lists.drop("m").join(mixed, "key").filter(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).select("key", "node", "n", "pos", "comp", "m")
+    return lists.drop("m").join(scratch.few(mixed), "key").filter(F.col("pos") <= F.col("n") - _overlap(F.col("n"), smallest)).select("key", "node", "n", "pos", "comp", "m")
 
 
 def _moved(rows: DataFrame, top: DataFrame, name: str = "comp") -> DataFrame:
@@ -562,11 +558,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     some = found.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     stays = some.groupBy("comp").agg(F.min(order).alias("s"), F.count("*").alias("m")).filter("m > 1").select("comp", "s.id", "s.hash")
-    # What goes is written, so that a join with little of it is planned as one that leaves the documents where they are.
+    # Up to a number of rows that go, the documents stay where they are.
     others = some.join(stays, "comp").filter(~(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))))
     gone, _ = scratch.written(others.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "gone")
     rows = own.withColumn("hash", F.xxhash64(text)).withColumn("id", F.col(key).cast("long"))
-    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("hash") == F.col("g_hash")), "left_anti")
+    rows = rows.join(scratch.few(gone), F.col("id").eqNullSafe(F.col("g_id")) & (F.col("hash") == F.col("g_hash")), "left_anti")
     names = [f"in_{i}" for i in range(len(docs.columns))]
     # Rows whose id and text both recur are rare: only these are grouped.
     twice = some.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"))

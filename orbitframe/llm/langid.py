@@ -213,9 +213,9 @@ def keep_known(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = docs.select(digest.alias("key"), F.col("source").alias("host"), F.lit("").alias("suffix"), F.lower("lang").alias("declared"), "text")
     found, found_at = scratch.written(likelihoods(rows, model), "likelihoods")
     decided, decided_at = scratch.written(fuse(found, model.languages, s).select("key", "lang"), "languages")
-    # Written, so that a join with few of them is planned as one: the documents are not shuffled.
+    # Up to a number of rows that go, the documents stay where they are.
     gone, _ = scratch.written(decided.filter(F.col("lang") == OTHER).select(F.col("key").alias(GONE)).distinct(), "gone")
     scratch.drop(docs.sparkSession, found_at, decided_at)
     own = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)), digest.alias("digest"))
-    kept = own.join(gone, F.col("digest") == F.col(GONE), "left_anti")
+    kept = own.join(scratch.few(gone), F.col("digest") == F.col(GONE), "left_anti")
     return kept.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Tables written and not dropped yet.
 _there: list[str] = []
@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of small rows (tens of bytes), to be broadcast if it has at most that many, and joined by shuffle beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mark() -> int:
     """A point in the order of tables, for ``drop_since``."""
     return len(_there)
