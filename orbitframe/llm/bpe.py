@@ -101,7 +101,7 @@ class Bpe:
         def encode(words: list[str], lead: str) -> list[bytes]:
             return [np.array([i for piece in find(lead + w) for i in merge_piece(piece.encode("utf-8", "surrogatepass"), ranks)], kind).tobytes() for w in words]
 
-        self.words = WordIds(encode, kind.str, blank=True, most=600_000)
+        self.words = WordIds(encode, kind.str, blank=True, most=900_000)
 
     def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for ids, number in self.words(texts):

@@ -230,7 +230,7 @@ def library_words(path: str, blank: bool) -> WordIds:
 
     # Without led words there is one table, so it may hold more.
     literals = tuple(x.content for x in plain.get_added_tokens_decoder().values())
-    words = WordIds(encode, kind, blank, fold=not blank, most=600_000 if blank else 800_000, literals=literals, whole=lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, kind).tobytes())
+    words = WordIds(encode, kind, blank, fold=not blank, most=800_000 if blank else 1_300_000, literals=literals, whole=lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, kind).tobytes())
     words.tokenizer = plain
     return words
 

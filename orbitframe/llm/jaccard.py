@@ -203,6 +203,7 @@ def _pack_lists(bits: int, many: int):
                     yield flush()
         if ids:
             yield flush()
+        workers.trim()
 
     return work
 
@@ -269,6 +270,7 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(keep):
                 yield _rows([(r, src, len(keep), _packed(np.diff(token[keep], prepend=np.uint64(0)).astype("<u8"), docs[keep], np.minimum(counts[at[keep]], 0xFFFF).astype("<u2")))])
     yield from passed
+    workers.trim()
 
 
 SETS = "doc_id long, text_hash long, n int, cls long, own boolean, cost_light long, cost_heavy long, prefix binary, shared binary, n_shared int"
@@ -315,6 +317,7 @@ def _collect_sets(bits: int):
                 [pa.array(np.where(null, 0, ids), pa.int64(), mask=null.astype(bool)), pa.array(texts, pa.int64()), pa.array(size, pa.int32()), pa.array(cls, pa.int64()), pa.array(flags.astype(bool)), pa.array(light, pa.int64()), pa.array(heavy, pa.int64()), pa.array(prefix, pa.binary()), pa.array(shared, pa.binary()), pa.array(number, pa.int32())],
                 ["doc_id", "text_hash", "n", "cls", "own", "cost_light", "cost_heavy", "prefix", "shared", "n_shared"],
             )
+        workers.trim()
 
     return work
 

@@ -137,8 +137,10 @@ def likelihoods(rows: DataFrame, model: TextModel, entities: bool = False) -> Da
         workers.release()
         scorer = Scorer(shared.value)
         for batch in batches:
-            ll = [scorer(t if t is None or "&" not in t else html.unescape(t)) if entities else scorer(t) for t in batch.column(4).to_pylist()]
+            ll = [scorer(html.unescape(t) if entities and t is not None and "&" in t else t) for t in (x.as_py() for x in batch.column(4))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ll, pa.list_(pa.float64()))], ["key", "host", "suffix", "declared", "ll"])
+        del scorer
+        workers.trim()
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.select("key", "host", "suffix", "declared", "text").mapInArrow(work, f"key {kind}, host string, suffix string, declared string, ll array<double>")

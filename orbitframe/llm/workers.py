@@ -7,6 +7,7 @@ tasks of an operator that keeps none let go of them.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import TypeVar
@@ -16,6 +17,8 @@ import pyarrow as pa
 T = TypeVar("T")
 
 _kept: dict[tuple, object] = {}
+#: Only glibc has it.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def kept(key: tuple, make: Callable[[], T]) -> T:
@@ -31,4 +34,11 @@ def release() -> None:
     if _kept:
         _kept.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, so that an idle worker is a small one."""
     pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
