@@ -56,6 +56,26 @@ def test_slots_of_whole_tracks(spark, tmp_path):
         assert got[key] == (len(own), sum(x[3] for x in own), sum(x[5] for x in own))
 
 
+def test_sums_of_slots(spark, tmp_path):
+    """Against the rows of hunk_slots, whatever the start and length of a track; no row for each slot of long ones."""
+    rng = random.Random(4)
+    rows = [(d, p, rng.randrange(0, 40), rng.randrange(3), rng.choice((0, 0, rng.randrange(1, 30)))) for d in range(40) for p in range(1, 9)]
+    t = spark.createDataFrame(rows, "disc long, pos long, frames long, trailing long, stored long")
+    sums = L.hunk_slots(t).groupBy("disc", "pos").agg(F.count("*").alias("rows"), F.min("hunk").alias("first_hunk"), F.max("hunk").alias("last_hunk"), F.sum("slot").alias("slot_sum"), F.sum("hunk").alias("hunk_sum"), F.count_if("padding").alias("padding"))
+    assert sorted(map(tuple, L.slot_sums(t).collect())) == sorted(map(tuple, sums.collect()))
+    long = spark.createDataFrame([(1, 1, 5, 0, 5), (1, 2, 10**10, 0, 0)], t.schema)
+    start, n = 5, 10**10
+    first = [(lba // 8, lba % 8) for lba in range(start, 8)]
+    whole, rest = divmod(start + n - 8, 8)
+    hunk_sum = sum(h for h, _ in first) + 8 * whole * (whole + 1) // 2 + rest * (whole + 1)
+    slot_sum = sum(s for _, s in first) + 28 * whole + sum(range(rest))
+    assert tuple(L.slot_sums(long).filter("pos = 2").first()) == (1, 2, n, 0, (start + n - 1) // 8, slot_sum, hunk_sum, 0)
+    rows = [(7, k, 1e3 * k + 0.5, "F") for k in range(1, 9)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = suite.queries()["hunk_slots"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_candidates_by_classes(spark):
     rng = random.Random(1)
     probe = [(k, rng.choice("abcdef")) for k in range(200) for _ in range(rng.randrange(1, 4))] + [(999, None)]
