@@ -8,7 +8,8 @@ nearly as close. Then
     reverse edges and a few far ones, so that no group is an island (build on overlapping shards);
  2. a point's lists from its cells are united;
  3. each point is searched in every cell that it is in, greedily from the cell's medoids over the
-    united lists, with a beam that widens over everything within the range until nothing new is in it;
+    united lists, with a beam that widens over everything within the range until nothing new is in it
+    (a block of points takes its steps together);
  4. pairs found are verified by the cosine in double precision, and hold for both ends.
 Two points that share cells are counted in the first of them, in either's own order, so nothing
 counts twice and no pair leaves a task: a cell gives each point's number of links and a star of edges
@@ -82,11 +83,11 @@ def robust_prune(points: np.ndarray, near: np.ndarray, s: Settings) -> np.ndarra
     return out
 
 
-def build_graph(points: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Adjacency lists of one cell: pruned candidates, a few far points, and the reverse of both."""
+def build_graph(points: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of one cell, end to end, and where each starts: pruned candidates, a few far points, and the reverse of both."""
     m = len(points)
     if m == 1:
-        return [np.zeros(0, np.int32)]
+        return np.zeros(2, np.int64), np.zeros(0, np.int64)
     c = min(s.candidates, m - 1)
     near = np.empty((m, c), np.int32)
     for at in range(0, m, 512):
@@ -99,7 +100,7 @@ def build_graph(points: np.ndarray, s: Settings) -> list[np.ndarray]:
     src, dst = np.repeat(np.arange(m), out.shape[1]), out.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
     pairs = np.unique(np.concatenate([src * np.int64(m) + dst, dst * np.int64(m) + src]))
-    return np.split((pairs % m).astype(np.int32), np.searchsorted(pairs // m, np.arange(1, m)))
+    return np.searchsorted(pairs // m, np.arange(m + 1)), pairs % m
 
 
 def medoids(points: np.ndarray, number: int) -> np.ndarray:
@@ -112,33 +113,97 @@ def medoids(points: np.ndarray, number: int) -> np.ndarray:
     return np.unique(out)
 
 
-def range_search(points: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, s: Settings) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each query (a point's index), the points met that are within the range or near it."""
-    start = medoids(points, s.medoids)
-    floor = s.least - s.slack
-    for q in queries.tolist():
-        me = points[q]
-        seen = np.zeros(len(points), bool)
-        seen[start] = True
-        ids, sims = start, points[start] @ me
-        done = np.zeros(len(start), bool)
+def cosines(points: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of each pair of unit vectors."""
+    out = np.empty(len(q), points.dtype)
+    for at in range(0, len(q), 8192):
+        out[at : at + 8192] = np.einsum("ij,ij->i", points.take(q[at : at + 8192], 0), points.take(p[at : at + 8192], 0))
+    return out
+
+
+class Beams:
+    """Of each query of a block, the best points met outside the range, by falling similarity."""
+
+    def __init__(self, queries: int, width: int):
+        self.ids, self.sims = np.zeros((queries, width), np.int64), np.full((queries, width), -np.inf, np.float32)
+        self.done, self.width = np.ones((queries, width), bool), width
+
+    def add(self, r: np.ndarray, p: np.ndarray, sim: np.ndarray) -> None:
+        keep = sim > self.sims[r, -1]
+        r, p, sim = r[keep], p[keep], sim[keep]
+        if not len(r):
+            return
+        order = np.argsort(r, kind="stable")
+        some, count = np.unique(r, return_counts=True)
+        row, place = np.repeat(np.arange(len(some)), count), self.width + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        shape = len(some), self.width + int(count.max())
+        both = np.zeros(shape, np.int64), np.full(shape, -np.inf, np.float32), np.ones(shape, bool)
+        for x, old, new in zip(both, (self.ids, self.sims, self.done), (p[order], sim[order], False)):
+            x[:, : self.width] = old[some]
+            x[row, place] = new
+        best = np.argpartition(-both[1], self.width - 1, axis=1)[:, : self.width]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both[1], best, 1), axis=1, kind="stable"), 1)
+        self.ids[some], self.sims[some], self.done[some] = (np.take_along_axis(x, best, 1) for x in both)
+
+    def next(self, room: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ones of each query's ``room`` best that were not given yet: query, point."""
+        todo = ~self.done & (np.arange(self.width) < room[:, None])
+        todo &= np.cumsum(todo, axis=1) <= number
+        self.done |= todo
+        return np.nonzero(todo)[0], self.ids[todo]
+
+
+def range_search(points: np.ndarray, starts: np.ndarray, lists: np.ndarray, queries: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a query (a point's index) and a point met that is within the range or near it.
+
+    Each query is searched for itself; a block of them takes its steps together, so a step costs a few
+    array operations for all.
+    """
+    m, start, floor = len(points), medoids(points, s.medoids), s.least - s.slack
+    block = max(1, min(256, (1 << 22) // m))
+    for at in range(0, len(queries), block):
+        q = queries[at : at + block]
+        n = len(q)
+        beams, inside = Beams(n, s.beam), np.zeros(n, np.int64)
+        seen, last = np.zeros(n * m, bool), np.zeros(n * m, np.int32)
+        new = (np.arange(n)[:, None] * m + start).ravel()
+        seen[new] = True
         while True:
-            # The beam is the best ones, and everything that is within the range.
-            order = np.argsort(-sims, kind="stable")
-            ids, sims, done = ids[order], sims[order], done[order]
-            width = max(s.beam, int(np.searchsorted(-sims, -floor, "right")))
-            ids, sims, done = ids[:width], sims[:width], done[:width]
-            todo = np.flatnonzero(~done)
-            if not len(todo):
+            r = new // m
+            p = new - r * m
+            sims = cosines(points, q[r], p)
+            found = sims >= s.least - 1e-5
+            yield q[r[found]], p[found]
+            # The beam is everything that is within the range, and the best ones up to its width.
+            close = sims >= floor
+            came = np.bincount(r[close], minlength=n)
+            inside += came
+            beams.add(r[~close], p[~close], sims[~close])
+            # What came within the range is followed at once, else the four best that are left.
+            more, which = beams.next(np.where(came > 0, 0, s.beam - inside), 4)
+            r, p = np.concatenate([r[close], more]), np.concatenate([p[close], which])
+            if not len(r):
                 break
-            inside = todo[sims[todo] >= floor]
-            take = inside if len(inside) else todo[:4]
-            done[take] = True
-            new = np.unique(np.concatenate([lists[i] for i in ids[take].tolist()]))
-            new = new[~seen[new]]
-            seen[new] = True
-            ids, sims, done = np.concatenate([ids, new]), np.concatenate([sims, points[new] @ me]), np.concatenate([done, np.zeros(len(new), bool)])
-        yield q, ids[sims >= s.least - 1e-5]
+            new = _unseen(r, p, starts, lists, m, seen, last)
+
+
+def _unseen(r: np.ndarray, p: np.ndarray, starts: np.ndarray, lists: np.ndarray, m: int, seen: np.ndarray, last: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Neighbours of p not yet seen by query r, once each, as r * m + neighbour; about ``most`` entries of lists at a time."""
+    size = starts[p + 1] - starts[p]
+    ends, out = np.cumsum(size), []
+    cuts = [0, *np.searchsorted(ends, np.arange(most, ends[-1], most)).tolist(), len(r)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        k, first = size[a:b], ends[a:b] - size[a:b]
+        new = np.repeat(r[a:b] * m, k) + lists[np.arange(first[0], ends[b - 1]) + np.repeat(starts[p[a:b]] - first, k)]
+        new = new[~seen[new]]
+        number = np.arange(len(new), dtype=np.int32)
+        last[new] = number  # of equal ones, one remains
+        new = new[last[new] == number]
+        seen[new] = True
+        out.append(new)
+    return np.concatenate(out)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -171,8 +236,8 @@ def _build(s: Settings):
         workers.release()
         for t in _groups(batches):
             node = t.column(1).to_numpy()
-            lists = build_graph(_matrix(t.column(2)).astype(np.float32), s)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([node[x] for x in lists], pa.list_(pa.int64()))], ["node", "list"])
+            starts, lists = build_graph(_matrix(t.column(2)).astype(np.float32), s)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(node[lists]))], ["node", "list"])
 
     return work
 
@@ -234,16 +299,17 @@ def _search(s: Settings):
             flat = column.flatten().to_numpy()
             at = np.minimum(np.searchsorted(node[order], flat), m - 1)
             here = node[order][at] == flat
-            local = order[at]
-            ends = np.cumsum(column.value_lengths().to_numpy())
-            lists = [local[a:b][here[a:b]] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            pairs = [np.zeros(0, np.int64)]
-            for q, found in range_search(points, lists, np.arange(m), s):
-                found = found[found != q]
-                found = found[exact[found] @ exact[q] >= s.least]  # verified in double precision
-                pairs += [q * np.int64(m) + found, found * np.int64(m) + q]
-            both = np.unique(np.concatenate(pairs))
-            members.add(both // m, both % m)
+            row = np.repeat(np.arange(m), column.value_lengths().to_numpy())[here]
+            starts = np.searchsorted(row, np.arange(m + 1))
+            hit = np.zeros((m, m), bool)  # at most most_points squared
+            for q, p in range_search(points, starts, order[at][here], np.arange(m), s):
+                good = cosines(exact, q, p) >= s.least  # verified in double precision
+                hit[q[good], p[good]] = True
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+            for first in range(0, m, 256):
+                q, p = np.nonzero(hit[first : first + 256])
+                members.add(q + first, p)
             yield members.met()
 
     return work

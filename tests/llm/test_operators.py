@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import types
 import zlib
 
@@ -190,6 +191,52 @@ def test_vectors_across_cells(spark, most):
     check_vectors({r.vec_id: r for r in vectors.near_duplicates(df, vectors.Settings(cell=50, most_points=most)).collect()}, rows)
 
 
+def one_by_one(points, starts, lists, s):
+    """Each query's search alone, step by step."""
+    start, floor = vectors.medoids(points, s.medoids), s.least - s.slack
+    for q in range(len(points)):
+        seen = np.zeros(len(points), bool)
+        seen[start] = True
+        ids, sims, done = start, points[start] @ points[q], np.zeros(len(start), bool)
+        while True:
+            order = np.argsort(-sims, kind="stable")
+            ids, sims, done = ids[order], sims[order], done[order]
+            width = max(s.beam, int(np.searchsorted(-sims, -floor, "right")))
+            ids, sims, done = ids[:width], sims[:width], done[:width]
+            todo = np.flatnonzero(~done)
+            if not len(todo):
+                break
+            inside = todo[sims[todo] >= floor]
+            take = inside if len(inside) else todo[:4]
+            done[take] = True
+            new = np.unique(np.concatenate([lists[starts[i] : starts[i + 1]] for i in ids[take].tolist()]))
+            new = new[~seen[new]]
+            seen[new] = True
+            ids, sims, done = np.concatenate([ids, new]), np.concatenate([sims, points[new] @ points[q]]), np.concatenate([done, np.zeros(len(new), bool)])
+        yield from ((q, i) for i in ids[sims >= s.least - 1e-5].tolist())
+
+
+@pytest.mark.parametrize("beam", (2, 24))
+def test_vectors_searched_together(beam):
+    """The same pairs as one query after the other finds, each once, in less than two thirds of its time."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 48))
+    x = np.concatenate([base, base[:300] + rng.normal(size=(300, 48)) * 0.08, base[0] + rng.normal(size=(200, 48)) * 0.08]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = vectors.Settings(beam=beam)
+    for points in (x, x[:1], x[:3], x[-200:]):
+        starts, lists = vectors.build_graph(points, s)
+        began = time.process_time()
+        want = list(one_by_one(points, starts, lists, s))
+        alone, began = time.process_time() - began, time.process_time()
+        got = [pair for q, p in vectors.range_search(points, starts, lists, np.arange(len(points)), s) for pair in zip(q.tolist(), p.tolist())]
+        together = time.process_time() - began
+        assert sorted(got) == sorted(want)
+        assert len(points) < len(x) or together < alone / 1.5
+    many = vectors._unseen(np.array([0, 0, 1]), np.array([0, 1, 1]), np.array([0, 3, 5]), np.array([0, 1, 1, 0, 1]), 2, np.array([True, False, False, False]), np.zeros(4, np.int32), most=2)
+    assert sorted(many.tolist()) == [1, 2, 3]
+
+
 def test_secrets(spark, odd, empty):
     key = "Zx9" + "aB3kQ7wLp0RtY5uMn2VsE8dF"
     text = f"id {key} and password= 'hunter2hunter' token: ab AKIA{'Q' * 16} {'0af3' * 8}"
