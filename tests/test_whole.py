@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from orbitframe.functions import blocks as B
 from orbitframe.functions import scalars as S
 from orbitframe.operators import chunks as C
 from orbitframe.operators import layout as L
@@ -76,6 +77,40 @@ def test_sums_of_slots(spark, tmp_path):
     assert "Generate" not in plan
 
 
+def test_every_slot_is_laid_out(spark, tmp_path, monkeypatch):
+    """Blocks of slots against brute force at any size; the query's sums come from them, one slot after the other."""
+    rng = random.Random(11)
+    for size in (1, 5, 8, 64, 1 << 16):
+        lay = B.slot_blocks(size)
+        for start, total, frames in [(3, 70000, 69990), (0, 8, 0), (5, 4, -2), (7, 9, 20)] + [(rng.randrange(99), n := rng.randrange(1, 200), rng.randrange(n + 1)) for _ in range(20)]:
+            got = [(first + h, s, p) for first, *columns in lay(start, total, frames) for h, s, p in zip(*(c.tolist() for c in columns))]
+            assert got == [((start + f) // 8, (start + f) % 8, f >= frames) for f in range(total)]
+    rows = [(d, k, rng.randrange(1, 90000) + 0.5, "F") for d in (1, 2, None) for k in range(1, 9)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    tasks, laid, whole, kind = [], [], B.slot_blocks, type(spark.range(1))
+    in_arrow = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: tasks.append((df, f)) or in_arrow(df, f, schema))
+    result = suite.queries()["hunk_slots"](spark, str(tmp_path))
+    want = sorted((tuple(r) for r in result.collect()), key=str)
+
+    def counted():
+        lay = whole()
+
+        def blocks(*track):
+            for block in lay(*track):
+                laid.append(len(block[1]))
+                yield block
+
+        return blocks
+
+    assert len(tasks) == 1
+    tracks, run = tasks[0]
+    monkeypatch.setattr(B, "slot_blocks", counted)
+    got = [tuple(r.values()) for batch in run(tracks.toArrow().to_batches()) for r in batch.to_pylist()]
+    assert sorted(got, key=str) == want and len(want) == len(rows)
+    assert sum(laid) == sum(-(-(int(price) % 40000 + 1) // 4) * 4 for _, _, price, _ in rows)
+
+
 def test_candidates_by_classes(spark):
     rng = random.Random(1)
     probe = [(k, rng.choice("abcdef")) for k in range(200) for _ in range(rng.randrange(1, 4))] + [(999, None)]
